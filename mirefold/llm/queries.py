@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirefold.llm.garbled import Restorer, learn, restored
 from mirefold.llm.mixing import mixed
 from mirefold.llm.packing import packed
 from mirefold.llm.pieces import split_texts
@@ -81,6 +82,31 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pieces(spark, folder, with_text=False).where("piece_no = 1 and n_pieces > 1").select("doc_id")
 
 
+def _garbled_fields(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    mail = table(spark, folder, "mail").select(F.col("mail_id").alias("row_id"), "subject", "text")
+    senders = table(spark, folder, "mail_identity").select(F.col("ident_id").alias("row_id"), "from_header")
+    return mail, senders
+
+
+def _restorer(spark: SparkSession, folder: str) -> Restorer:
+    mail, senders = _garbled_fields(spark, folder)
+    texts = mail.unionByName(senders, allowMissingColumns=True)
+    return learn(texts, {c: F.col(c) for c in ("subject", "text", "from_header")})
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields that were decoded wrongly, with what could be restored."""
+    mail, senders = _garbled_fields(spark, folder)
+    model = _restorer(spark, folder)
+    in_mail = restored(mail, "row_id", {"subject": F.col("subject"), "text": F.col("text")}, model)
+    in_senders = restored(senders, "row_id", {"from_header": F.col("from_header")}, model)
+    return in_mail.select(F.lit("mail").alias("tbl"), "*").unionByName(in_senders.select(F.lit("mail_identity").alias("tbl"), "*"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_restored(spark, folder).select("tbl", "row_id", "field_name")
+
+
 def _with_variants(spark: SparkSession, folder: str, name: str, row_id: str, column: str) -> DataFrame:
     rows = table(spark, folder, name).select(F.col(row_id).alias("row_id"), F.col(column).alias("v"))
     return normalised(rows, "v", only_changed=True).select(F.lit(name).alias("tbl"), "row_id")
@@ -88,11 +114,13 @@ def _with_variants(spark: SparkSession, folder: str, name: str, row_id: str, col
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose text contains variant characters, without those decoded wrongly."""
-    senders = _with_variants(spark, folder, "mail_identity", "ident_id", "from_header")
+    headers = _garbled_fields(spark, folder)[1]
+    wrong = restored(headers, "row_id", {"from_header": F.col("from_header")}, _restorer(spark, folder)).select("row_id")
+    senders = _with_variants(spark, folder, "mail_identity", "ident_id", "from_header").join(wrong, "row_id", "left_anti").select("tbl", "row_id")
     return senders.unionByName(_with_variants(spark, folder, "ioc", "ioc_id", "value")).unionByName(_with_variants(spark, folder, "lookalike_hit", "hit_id", "value"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 _DUCK_KEYS = r"""
 with src as (
