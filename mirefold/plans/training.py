@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants(dated, "v", "day_order", "tz_name", keep=["tbl", "row_id", "field_name"])
 
 
-def _message_key(column: str):
+def message_key(column: str):
     """An identifier apart from letter case, surrounding white space and angle brackets; null where blank."""
     inner = F.lower(F.regexp_replace(column, r"^[\s<>]+|[\s<>]+$", ""))
     return F.when(inner != "", inner)
@@ -38,8 +38,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of triage and mail_identity that repeat a message."""
     path = F.lower(F.translate("path", "\\", "/"))
     by_path = F.when(F.trim(path) != "", F.concat(F.lit("path "), path))
-    triage = table(spark, folder, "triage").select(F.lit("triage").alias("tbl"), F.col("triage_id").alias("row_id"), F.coalesce(F.concat(F.lit("id "), _message_key("message_id")), by_path).alias("k"), "ingested_at")
-    mail = table(spark, folder, "mail_identity").select(F.lit("mail_identity").alias("tbl"), F.col("ident_id").alias("row_id"), F.concat(F.lit("id "), _message_key("message_id")).alias("k"), "ingested_at")
+    triage = table(spark, folder, "triage").select(F.lit("triage").alias("tbl"), F.col("triage_id").alias("row_id"), F.coalesce(F.concat(F.lit("id "), message_key("message_id")), by_path).alias("k"), "ingested_at")
+    mail = table(spark, folder, "mail_identity").select(F.lit("mail_identity").alias("tbl"), F.col("ident_id").alias("row_id"), F.concat(F.lit("id "), message_key("message_id")).alias("k"), "ingested_at")
     return redelivered(triage.unionByName(mail), "k", "ingested_at", "row_id", group="tbl")
 
 
