@@ -1,0 +1,125 @@
+"""What each line of a mail is, from the mail alone."""
+
+from __future__ import annotations
+
+import re
+
+NEW, QUOTED, INTRO, HEADER, SIGNOFF, BLANK = "new", "quoted", "intro", "header", "signoff", "blank"
+
+MARK = re.compile(r"^\s{0,3}(?:(?:[^\W\d_]{1,4})?>|\|)(?:\s?(?:[>|]|[^\W\d_]{1,4}>))*\s?|^\s{0,3}:(?:\s|$)|^(?: {4,}|\t+)")
+# Names of the header fields that mail programs write before an earlier message.
+FROM_NAMES = "From|De|Von|От|Da|Van"
+FIELD_NAMES = f"{FROM_NAMES}|Sent|Date|To|Cc|CC|Bcc|Reply-To|Subject|Importance|Envoyé|Envoyé le|À|Objet|Gesendet|Datum|An|Kopie|Betreff|Отправлено|Дата|Кому|Копия|Тема|Enviado|Enviado el|Fecha|Para|Asunto"
+HEADER_LINE = re.compile(rf"^\s*\*?(?:{FIELD_NAMES})\s?:\*?(?:\s|$)")
+FROM_LINE = re.compile(rf"^\s*\*?(?:{FROM_NAMES})\s?:\*?\s.*\S")
+SEPARATOR = re.compile(r"^\s*(?:-{2,}\s*\S.*\S\s*-{2,}|_{10,}|={10,}|-{20,})\s*$")
+TITLED = re.compile(r"^\s*(?:-{2,}\s*\w.*\w\s*-{2,})\s*$")
+TIME = re.compile(r"\b\d{1,2}:\d{2}\b")
+# Verbs by which mail programs introduce an earlier message.
+WROTE = re.compile(r"\b(?:wrote|writes|schrieb|a écrit|écrit|escribió|написал\w*|пишет)\b", re.IGNORECASE)
+DASHES = re.compile(r"^--\s*$")
+SYMBOLS = re.compile(r"^[^\w]+$")
+REPLY_MARK = re.compile(r"^\s*(?:\[[^\]]{1,20}\]\s*)*(?:re|aw|antw|sv|vs|fw|fwd|wg|tr|rv|rif|ref|enc|отв|ответ|пер|hа)\s*(?:\[\d+\])?\s*:", re.IGNORECASE)
+
+
+def plain(line: str) -> str:
+    """A line without quote marks and outer white space."""
+    while True:
+        cut = MARK.sub("", line, count=1)
+        if cut == line:
+            return line.strip()
+        line = cut
+
+
+def lines_of(text: str) -> list[str]:
+    return [x.rstrip("\r") for x in text.split("\n")]
+
+
+LABEL = re.compile(r"^\s*\*?[^\s:]{1,14}(?: [^\s:]{1,8})?\s?:\*?\s+\S")
+
+
+def _header_block(lines: list[str], i: int) -> int:
+    """Lines of a header block that starts at i (0: none): From and at least
+    one more field; or, whatever the words, a label with an address, one with
+    a time and a third.
+    """
+    if FROM_LINE.match(lines[i]):
+        j = i + 1
+        while j < len(lines) and HEADER_LINE.match(lines[j]):
+            j += 1
+        if j - i >= 2:
+            return j - i
+    if i + 2 < len(lines) and LABEL.match(lines[i]) and "@" in lines[i] and ">" in lines[i] and LABEL.match(lines[i + 1]) and TIME.search(lines[i + 1]) and LABEL.match(lines[i + 2]):
+        j = i + 3
+        while j < len(lines) and LABEL.match(lines[j]):
+            j += 1
+        return j - i
+    return 0
+
+
+def _intro(lines: list[str], i: int) -> int:
+    """Lines of an introduction that starts at i (0: none)."""
+    for n in (1, 2, 3):
+        part = lines[i : i + n]
+        if len(part) < n or (n > 1 and not part[-1].strip()):
+            return 0
+        if MARK.match(part[-1]) and n > 1 and not MARK.match(part[0]):
+            return 0
+        text = " ".join(x.strip() for x in part)
+        if len(text) > 300:
+            return 0
+        if text.endswith(":"):
+            stamped = bool(TIME.search(text[:-1]))
+            if (stamped and (WROTE.search(text) or "@" in text)) or (WROTE.search(text) and "@" in text and "<" in text):
+                return n
+            if stamped:
+                after = next((x for x in lines[i + n :] if x.strip()), "")
+                if MARK.match(after):
+                    return n
+            return 0
+    return 0
+
+
+def roles(text: str, quotes: bool) -> list[str]:
+    """A role for each line: where nothing is quoted all but blank lines are
+    new; sign-offs are found by the caller.
+
+    A header block without marks starts an earlier message that goes on to
+    the end; so does an introduction that no marked line follows.
+    """
+    lines = lines_of(text)
+    out = [BLANK if not x.strip() else NEW for x in lines]
+    if not quotes:
+        return out
+    i = 0
+    while i < len(lines):
+        if out[i] == BLANK:
+            i += 1
+        elif MARK.match(lines[i]):
+            out[i] = QUOTED
+            i += 1
+        elif n := _header_block(lines, i):
+            k = i - 1
+            while k >= 0 and (not lines[k].strip() or SEPARATOR.match(lines[k]) or (lines[k].rstrip().endswith(":") and len(lines[k].split()) <= 5)):
+                if lines[k].strip():
+                    out[k] = INTRO
+                k -= 1
+                if k >= 0 and lines[k].strip() and not SEPARATOR.match(lines[k]) and out[k + 1] == INTRO:
+                    break
+            out[i : i + n] = [HEADER] * n
+            for j in range(i + n, len(lines)):
+                if out[j] != BLANK:
+                    out[j] = QUOTED
+            return out
+        elif n := _intro(lines, i):
+            out[i : i + n] = [INTRO] * n
+            after = next((j for j in range(i + n, len(lines)) if lines[j].strip()), len(lines))
+            if after < len(lines) and not MARK.match(lines[after]) and not _header_block(lines, after):
+                for j in range(after, len(lines)):
+                    if out[j] != BLANK:
+                        out[j] = QUOTED
+                return out
+            i += n
+        else:
+            i += 1
+    return out

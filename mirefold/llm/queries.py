@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from mirefold.llm.garbled import Restorer, learn, restored
 from mirefold.llm.mixing import mixed
+from mirefold.llm.newtext import new_lines
 from mirefold.llm.packing import packed
 from mirefold.llm.pieces import split_texts
 from mirefold.llm.radix import collapse, copies
 from mirefold.llm.variants import normalised
+from mirefold.operators.timestamps import instants
+from mirefold.plans.training import message_key
 from mirefold.session import table
 
 _ENCLOSURES = r"""[\s\p{Z}"'`´＂＇\p{Pi}\p{Pf}\p{Ps}\p{Pe}<>＜＞]"""
@@ -107,6 +110,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_restored(spark, folder).select("tbl", "row_id", "field_name")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each mail that its sender newly wrote."""
+    model = _restorer(spark, folder)
+    shared = spark.sparkContext.broadcast((model.transformations, model.log_counts))  # of fixed size, see garbled
+
+    def clean():
+        restorer = Restorer(*shared.value)
+        return lambda t: t if t.isascii() else restorer(t)[0]
+
+    mail = table(spark, folder, "mail").select("mail_id", "text", "sender")
+    links = table(spark, folder, "mail_identity").select(F.col("ident_id").alias("mail_id"), "subject", "in_reply_to", F.col("references_hdr").alias("references"), "date_hdr", F.unix_micros("ingested_at").alias("ingested"), "site_id", message_key("message_id").alias("message"))
+    site = table(spark, folder, "site").select("site_id", "tz_name", "day_order")
+    dated = instants(links.select("mail_id", "site_id", "date_hdr").join(site, "site_id", "left"), "date_hdr", "day_order", "tz_name", keep=["mail_id"])
+    joined = mail.join(links.drop("date_hdr", "site_id"), "mail_id", "left").join(dated, "mail_id", "left")
+    return new_lines(joined.withColumn("sent", F.coalesce("utc_us", "ingested")), clean)
+
+
 def _with_variants(spark: SparkSession, folder: str, name: str, row_id: str, column: str) -> DataFrame:
     rows = table(spark, folder, name).select(F.col(row_id).alias("row_id"), F.col(column).alias("v"))
     return normalised(rows, "v", only_changed=True).select(F.lit(name).alias("tbl"), "row_id")
@@ -120,7 +140,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return senders.unionByName(_with_variants(spark, folder, "ioc", "ioc_id", "value")).unionByName(_with_variants(spark, folder, "lookalike_hit", "hit_id", "value"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 _DUCK_KEYS = r"""
 with src as (
