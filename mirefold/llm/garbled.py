@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirefold.functions.codepoints import explode_codepoints
+from mirefold.session import written
 
 # Names of encodings that mail programs mix up.
 READ_AS = ("cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "cp1250", "iso8859-5", "iso8859-15", "mac-cyrillic", "cp1253", "cp1254", "cp1257")
@@ -107,21 +108,46 @@ def transform(run: str, read: str, meant: str, rounds: int, partly: bool = False
 GRID = [(r, m, 1) for r in READ_AS for m in MEANT_AS if r != m] + [(r, "utf-8", 2) for r in READ_AS]
 
 
-def explain(garbled: str, clean: str) -> list[int]:
+@functools.lru_cache(maxsize=200_000)
+def _explained(garbled: str, clean: str) -> frozenset[int]:
+    """The transformations that turn one run into the other."""
+    out = set()
+    for read in READ_AS:
+        raw = encode(garbled, read)
+        if raw is None:
+            continue
+        for i in _BY_READ[read]:
+            _, meant, rounds = GRID[i]
+            once = decode(raw, meant)
+            if once is not None and (once == clean if rounds == 1 else transform(once, read, meant, rounds - 1) == clean):
+                out.add(i)
+    return frozenset(out)
+
+
+_BY_READ = {r: [i for i, g in enumerate(GRID) if g[0] == r] for r in READ_AS}
+
+
+def explain(garbled: str, clean: str) -> frozenset[int]:
     """The transformations that turn the runs of one text, aligned by the
     ASCII text between them, into those of its twin.
     """
     a, b = _RUN.findall(garbled), _RUN.findall(clean)
-    if not a or len(a) != len(b) or a == b:
-        return []
-    pairs = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    return [i for i, (r, m, n) in enumerate(GRID) if all(transform(x, r, m, n) == y for x, y in pairs)]
+    if not a or len(a) != len(b):
+        return frozenset()
+    left: frozenset[int] | None = None
+    for x, y in zip(a, b, strict=True):
+        if x != y:
+            left = _explained(x, y) if left is None else left & _explained(x, y)
+            if not left:
+                return left
+    return left or frozenset()
 
 
 def _segments(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     each = F.flatten(F.array(*[F.coalesce(F.split(c, r"\n"), F.array().cast("array<string>")) for c in fields.values()]))
     masked = F.regexp_replace(F.regexp_replace("line", "[0-9]+", "0"), r"^[\s>]+|\s+$", "")
-    return df.select(F.explode(each).alias("line")).select(masked.alias("seg")).where(F.col("seg").rlike(r"[^\x00-\x7F]"))
+    lines = df.select(F.explode(each).alias("line")).where(F.octet_length("line") > F.length("line"))
+    return lines.select(masked.alias("seg"))
 
 
 def twins(segments: DataFrame) -> DataFrame:
@@ -129,7 +155,7 @@ def twins(segments: DataFrame) -> DataFrame:
     the same text without non-ASCII characters. Pairs are as many as segments.
     """
     key = F.regexp_replace("seg", r"[^\x20-\x7E]+", "")
-    counted = segments.groupBy("seg").count().withColumn("key", key).where(F.length(F.regexp_replace("key", "[^A-Za-z0-9]", "")) >= ANCHORS)
+    counted = written(segments.groupBy("seg").count().withColumn("key", key).where(F.length(F.regexp_replace("key", "[^A-Za-z0-9]", "")) >= ANCHORS), "segments")
     reference = counted.groupBy("key").agg(F.max_by("seg", F.struct("count", "seg")).alias("reference"), F.count("*").alias("n")).where("n > 1")
     return counted.join(reference.select("key", "reference"), "key").where("seg <> reference").select("reference", F.col("seg").alias("other"))
 
@@ -143,7 +169,7 @@ def learn_transformations(segments: DataFrame, support: int = SUPPORT) -> list[t
         for b in batches:
             count = np.zeros(len(GRID), np.int64)
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i in {*explain(y, x), *explain(x, y)}:
+                for i in explain(y, x) | explain(x, y):
                     count[i] += 1
             hit = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(count[hit])], names=["t", "n"])
