@@ -67,7 +67,7 @@ from (select ioc_id as raw_id, split_part(value, ':', 1) as ip, cast(split_part(
       from ioc where regexp_full_match(value, '(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?::\\d+)?'))""".replace("\\\\", "\\"))
 def ioc_private_ipv4(spark: SparkSession, folder: str) -> DataFrame:
     """Which of the written IPv4 addresses belong to private or shared networks."""
-    rows = table(spark, folder, "ioc").where(F.col("value").rlike(rf"^{tx.IPV4}(?::\d+)?$")).select(F.col("ioc_id").alias("raw_id"), F.substring_index("value", ":", 1).alias("ip"))
+    rows = table(spark, folder, "ioc").where(F.col("value").rlike(rf"^{tx.IPV4}(?::\d+)?\z")).select(F.col("ioc_id").alias("raw_id"), F.substring_index("value", ":", 1).alias("ip"))
     return rows.select("raw_id", "ip", tx.is_private_ipv4(F.col("ip")).alias("private"))
 
 
@@ -244,12 +244,12 @@ d as (select *, levenshtein(case when foreign_ then nlabel else norm end, case w
 k as (select host, brand, case when norm = breg or (foreign_ and nlabel = label and visible <> label) then 'homoglyph'
   when length(label) >= 5 and contains(replace(norm, '-', ''), label) and contains(norm, label) and visible <> label then 'brand_spoof'
   when d between 1 and 2 and abs(length(case when foreign_ then nlabel else norm end) - length(case when foreign_ then label else breg end)) <= 2 then 'levenshtein' end as kind, d from d)
-select host, brand, kind, case when kind = 'levenshtein' then d end as distance from k where kind is not null""".replace("\\\\", "\\").replace("'0135$@|', 'oiessal'", "'0135$@|', 'oiessal'"))
+select host, brand, kind, cast(case when kind = 'levenshtein' then d else 0 end as integer) as distance from k where kind is not null""".replace("\\\\", "\\").replace("'0135$@|', 'oiessal'", "'0135$@|', 'oiessal'"))
 def lookalike_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """ASCII hosts that resemble one of the brands."""
     brands = [r["domain"] for r in table(spark, folder, "brand").orderBy("ord").collect()]  # a fixed table of 20 rows
     hosts = table(spark, folder, "lookalike_hit").where(F.col("value").rlike(r"^[A-Za-z0-9.-]+\.[A-Za-z]+$")).select("value")
-    return lookalikes.brand_hits(hosts, "value", brands)
+    return lookalikes.brand_hits(hosts, "value", brands).fillna(0, ["distance"])
 
 
 @query("select brand, kind, count(*) as n, count(distinct msg_id) as mails from lookalike_hit group by all")
@@ -290,8 +290,8 @@ def campaign_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""with m as (select distinct campaign_key as key, msg_id from triage where campaign_key <> ''), l as (select distinct msg_id, ioc_type || ': ' || value as label from ioc where value is not null),
 s as (select key, count(distinct msg_id) as size from m group by 1), c as (select m.key, label, count(*) as n from m join l using (msg_id) group by all),
-j as (select c.*, s.size, max(case when n = size then 1 else 0 end) over (partition by c.key) as some from c join s using (key)),
-k as (select key, label, row_number() over (partition by key order by label) as r from j where case when some = 1 then n = size else size > 1 and n >= 2 end)
+j as (select c.*, s.size, max(case when n = size then 1 else 0 end) over (partition by c.key) as every from c join s using (key)),
+k as (select key, label, row_number() over (partition by key order by label) as r from j where case when every = 1 then n = size else size > 1 and n >= 2 end)
 select key, string_agg(label, '|' order by label) as shared from k where r <= 40 group by 1""")
 def campaign_shared(spark: SparkSession, folder: str) -> DataFrame:
     """Indicators that the messages of a campaign share."""
@@ -380,14 +380,14 @@ def feedback_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 # --- exports and files ------------------------------------------------------------------------
 
 
-@query("""select t.triage_id, i.ioc_id, coalesce(i.ioc_type, '') as ioc_type, coalesce(i.value, '') as value, coalesce(array_to_string(i.tags, '|'), '') as tags, coalesce(t.verdict_level, '') as verdict, t.verdict_score as score
+@query("""select t.triage_id, coalesce(i.ioc_id, -1) as ioc_id, coalesce(i.ioc_type, '') as ioc_type, coalesce(i.value, '') as value, coalesce(array_to_string(i.tags, '|'), '') as tags, coalesce(t.verdict_level, '') as verdict, coalesce(t.verdict_score, -1) as score
 from triage t left join ioc i using (msg_id)""")
 def export_flat(spark: SparkSession, folder: str) -> DataFrame:
     """Indicators with their message's verdict; messages without any keep an empty row."""
-    messages = table(spark, folder, "triage").select("msg_id", "triage_id", F.coalesce("verdict_level", F.lit("")).alias("verdict"), F.col("verdict_score").alias("score"))
+    messages = table(spark, folder, "triage").select("msg_id", "triage_id", F.coalesce("verdict_level", F.lit("")).alias("verdict"), F.coalesce("verdict_score", F.lit(-1)).alias("score"))
     rows = table(spark, folder, "ioc").select("msg_id", "ioc_id", "ioc_type", "value", F.array_join("tags", "|").alias("tags"))
     joined = messages.join(rows, "msg_id", "left")
-    return joined.select("triage_id", "ioc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("ioc_type", "value", "tags")], "verdict", "score")
+    return joined.select("triage_id", F.coalesce("ioc_id", F.lit(-1)).alias("ioc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("ioc_type", "value", "tags")], "verdict", "score")
 
 
 def _duck_cef(c: str) -> str:

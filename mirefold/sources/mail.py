@@ -240,7 +240,7 @@ def read_folder(spark: SparkSession, folder: str, mailbox_limit: int = 500) -> D
 
 def header(name: str) -> Column:
     """The first value of a header, null where it is absent."""
-    return F.element_at(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), 1)["value"]
+    return F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
 def auth_results(parsed: DataFrame) -> DataFrame:
