@@ -218,57 +218,109 @@ def learn_counts(df: DataFrame, fields: dict[str, Column]) -> np.ndarray:
 
 
 class Restorer:
-    """Applies learned transformations where they make a text more usual."""
+    """Applies learned transformations where they make a text more usual.
+
+    Words are judged in bulk: all words that weren't seen before are one array
+    of code points, which each transformation maps by a table; only words
+    whose bytes hold a sequence of UTF-8 are decoded one by one.
+    """
+
+    SEEN = 500_000  # words remembered; then all are judged anew
 
     def __init__(self, transformations: list[tuple[str, str, int]], log_counts: np.ndarray) -> None:
         self.transformations, self.log_counts = transformations, log_counts
-        self.word = functools.lru_cache(maxsize=200_000)(self._word)
+        self.seen: set[str] = set()
+        self.changed: dict[str, tuple[str, float]] = {}
+        self.to_byte, self.to_char = {}, {}
+        for read, meant, _ in transformations:
+            table = np.zeros(0x10000, np.uint8)
+            for c, byte in _charmap(read)[0].items():
+                if c > 0x7F:
+                    table[c] = byte
+            self.to_byte[read] = table
+            if meant != "utf-8":
+                self.to_char[meant] = np.array([ord(c) for c in _charmap(meant)[1]], np.uint32)
+
+    def _scores(self, points: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the total of log counts of three characters with a non-ASCII one, and how many they are."""
+        value, count = np.zeros(len(points)), np.zeros(len(points), np.int64)
+        three = (np.maximum(np.maximum(points[:-2], points[1:-1]), points[2:]) > 0x7F) & inside[:-2]
+        value[:-2][three] = self.log_counts[_cells(_plain(points))[three]]
+        count[:-2] = three
+        return np.add.reduceat(value, starts), np.add.reduceat(count, starts)
 
     def _score(self, word: str) -> tuple[float, int]:
-        points = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        points = _plain(points)
+        points = _plain(np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32))
         three = np.maximum(np.maximum(points[:-2], points[1:-1]), points[2:]) > 0x7F
-        n = int(three.sum())
-        return (float(self.log_counts[_cells(points)[three]].sum()), n) if n else (0.0, 0)
-
-    def _word(self, word: str) -> tuple[str, float]:
-        """The best reading of a word, and how much more usual it is in total (0: as it is)."""
-        total, n = self._score(word)
-        best, gain = word, 0.0
-        seen = {word}
+        return float(self.log_counts[_cells(points)[three]].sum()), int(three.sum())
+
+    def judge(self, words: list[str]) -> None:
+        """Finds the best reading of each word that is new."""
+        words = [w for w in dict.fromkeys(words) if w not in self.seen]
+        if not words:
+            return
+        if len(self.seen) > self.SEEN:
+            self.seen.clear()
+            self.changed.clear()
+        self.seen.update(words)
+        points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(w) + 2 for w in words])
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        inside = np.ones(len(points), bool)  # where three characters in a row stay within a word
+        inside[starts + lengths - 1] = inside[starts + lengths - 2] = False
+        total, n = self._scores(points, starts, inside)
+        usual, high = total / np.maximum(n, 1), points > 0x7F
+        small = np.where(points < 0x10000, points, 0)
+        best_gain, best = np.zeros(len(words)), [""] * len(words)
+        bytes_of = {}
         for read, meant, rounds in self.transformations:
-            changed = [transform(run, read, meant, rounds, partly=True) for run in _RUN.findall(word)]
-            if not any(changed) or (meant != "utf-8" and not all(changed)):
-                continue
-            it = iter(changed)
-            again = _RUN.sub(lambda m: next(it) or m[0], word)  # noqa: B023
-            if again in seen or _LOST.search(again):
-                continue
-            seen.add(again)
-            new, k = self._score(again)
-            if not k:
+            if read not in bytes_of:
+                raw = np.where(high, self.to_byte[read][small], 0)
+                bytes_of[read] = raw, np.logical_or.reduceat(high & (raw == 0), starts)
+            raw, unread = bytes_of[read]
+            if meant != "utf-8":
+                again = np.where(high, self.to_char[meant][raw], points)
+                lost = high & ((again == 0xFFFD) | ((again >= 0x80) & (again < 0xA0)))
+                usable = ~unread & ~np.logical_or.reduceat(lost, starts) & np.logical_or.reduceat(again != points, starts)
+                if not usable.any():
+                    continue
+                new, k = self._scores(again, starts, inside)
+                gain = np.where(usable & (k > 0), new / np.maximum(k, 1) - usual, 0.0)
+                better = (gain > MARGIN) & (gain * k > best_gain)
+                for i in np.flatnonzero(better):
+                    best[i] = again[starts[i] + 1 : starts[i] + lengths[i] - 1].astype(np.uint32).tobytes().decode("utf-32-le")
+                best_gain = np.where(better, gain * k, best_gain)
                 continue
-            mean_gain = new / k - total / n + (WELL_FORMED if meant == "utf-8" and all(changed) else 0.0)
-            if mean_gain > MARGIN and mean_gain * k > gain:
-                best, gain = again, mean_gain * k
-        return best, gain
+            follows = (raw >= 0x80) & (raw < 0xC0)
+            after, later = np.r_[follows[1:], False], np.r_[follows[2:], False, False]
+            sequence = ((raw >= 0xC2) & (raw < 0xE0) & after) | ((raw >= 0xE0) & (raw < 0xF5) & after & later)
+            for i in np.flatnonzero(np.logical_or.reduceat(sequence, starts)):
+                changed = [transform(run, read, meant, rounds, partly=True) for run in _RUN.findall(words[i])]
+                if not any(changed):
+                    continue
+                it = iter(changed)
+                text = _RUN.sub(lambda m: next(it) or m[0], words[i])  # noqa: B023
+                if text == words[i] or _LOST.search(text):
+                    continue
+                score, k = self._score(text)
+                gain = score / k - usual[i] + (WELL_FORMED if all(changed) else 0.0) if k else 0.0
+                if gain > MARGIN and gain * k > best_gain[i]:
+                    best_gain[i], best[i] = gain * k, text
+        for i in np.flatnonzero(best_gain > 0):
+            self.changed[words[i]] = best[i], float(best_gain[i])
 
     def __call__(self, text: str) -> tuple[str, str | None]:
         """The restored text, and what was found: restored, partly (some
         characters are lost), lost, or None for a clean text.
         """
-        gains = 0.0
-
-        def one(m: re.Match) -> str:
-            nonlocal gains
-            word, gain = self.word(m[0])
-            gains += gain
-            return word
-
-        out = _TOKEN.sub(one, text)
-        lost = bool(_LOST.search(out))
-        if gains < TOTAL and not _LOST.search(text):
+        words = _TOKEN.findall(text)
+        self.judge(words)
+        gains = sum(self.changed[w][1] for w in words if w in self.changed)
+        lost = bool(_LOST.search(text))
+        if gains < TOTAL and not lost:
             return text, None
+        out = _TOKEN.sub(lambda m: self.changed[m[0]][0] if m[0] in self.changed else m[0], text) if gains else text
+        lost = bool(_LOST.search(out))
         return out, ("partly" if out != text else "lost") if lost else "restored"
 
 
@@ -296,7 +348,9 @@ def restored(df: DataFrame, row_id: str, fields: dict[str, Column], model: Resto
         restorer = Restorer(*shared.value)
         for b in batches:
             at, status, texts = [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
+            column = b.column(2).to_pylist()
+            restorer.judge([w for t in column for w in _TOKEN.findall(t)])
+            for i, t in enumerate(column):
                 out, what = restorer(t)
                 if what:
                     at.append(i)
