@@ -22,13 +22,20 @@ SYMBOLS = re.compile(r"^[^\w]+$")
 REPLY_MARK = re.compile(r"^\s*(?:\[[^\]]{1,20}\]\s*)*(?:re|aw|antw|sv|vs|fw|fwd|wg|tr|rv|rif|ref|enc|отв|ответ|пер|hа)\s*(?:\[\d+\])?\s*:", re.IGNORECASE)
 
 
+def marked(line: str) -> re.Match | None:
+    """The quote marks a line begins with."""
+    if line[:1] not in ">|: \t" and ">" not in line[:6]:
+        return None  # most lines: no pattern is tried
+    return MARK.match(line)
+
+
 def plain(line: str) -> str:
     """A line without quote marks and outer white space."""
-    while True:
-        cut = MARK.sub("", line, count=1)
-        if cut == line:
-            return line.strip()
-        line = cut
+    while m := marked(line):
+        if m.end() == 0:
+            break
+        line = line[m.end() :]
+    return line.strip()
 
 
 def lines_of(text: str) -> list[str]:
@@ -43,6 +50,8 @@ def _header_block(lines: list[str], i: int) -> int:
     one more field; or, whatever the words, a label with an address, one with
     a time and a third.
     """
+    if ":" not in lines[i][:32]:
+        return 0
     if FROM_LINE.match(lines[i]):
         j = i + 1
         while j < len(lines) and HEADER_LINE.match(lines[j]):
@@ -60,11 +69,11 @@ def _header_block(lines: list[str], i: int) -> int:
 def _intro(lines: list[str], i: int) -> int:
     """Lines of an introduction that starts at i (0: none)."""
     for n in (1, 2, 3):
-        part = lines[i : i + n]
-        if len(part) < n or (n > 1 and not part[-1].strip()):
-            return 0
-        if MARK.match(part[-1]) and n > 1 and not MARK.match(part[0]):
+        if i + n > len(lines) or not lines[i + n - 1].strip() or (n > 1 and marked(lines[i + n - 1])):
             return 0
+        if not lines[i + n - 1].rstrip().endswith(":"):
+            continue
+        part = lines[i : i + n]
         text = " ".join(x.strip() for x in part)
         if len(text) > 300:
             return 0
@@ -74,7 +83,7 @@ def _intro(lines: list[str], i: int) -> int:
                 return n
             if stamped:
                 after = next((x for x in lines[i + n :] if x.strip()), "")
-                if MARK.match(after):
+                if marked(after):
                     return n
             return 0
     return 0
@@ -95,7 +104,7 @@ def roles(text: str, quotes: bool) -> list[str]:
     while i < len(lines):
         if out[i] == BLANK:
             i += 1
-        elif MARK.match(lines[i]):
+        elif marked(lines[i]):
             out[i] = QUOTED
             i += 1
         elif n := _header_block(lines, i):
@@ -114,7 +123,7 @@ def roles(text: str, quotes: bool) -> list[str]:
         elif n := _intro(lines, i):
             out[i : i + n] = [INTRO] * n
             after = next((j for j in range(i + n, len(lines)) if lines[j].strip()), len(lines))
-            if after < len(lines) and not MARK.match(lines[after]) and not _header_block(lines, after):
+            if after < len(lines) and not marked(lines[after]) and not _header_block(lines, after):
                 for j in range(after, len(lines)):
                     if out[j] != BLANK:
                         out[j] = QUOTED

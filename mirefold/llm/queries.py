@@ -112,19 +112,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of each mail that its sender newly wrote."""
-    model = _restorer(spark, folder)
-    shared = spark.sparkContext.broadcast((model.transformations, model.log_counts))  # of fixed size, see garbled
-
-    def clean():
-        restorer = Restorer(*shared.value)
-        return lambda t: t if t.isascii() else restorer(t)[0]
-
     mail = table(spark, folder, "mail").select("mail_id", "text", "sender")
     links = table(spark, folder, "mail_identity").select(F.col("ident_id").alias("mail_id"), "subject", "in_reply_to", F.col("references_hdr").alias("references"), "date_hdr", F.unix_micros("ingested_at").alias("ingested"), "site_id", message_key("message_id").alias("message"))
     site = table(spark, folder, "site").select("site_id", "tz_name", "day_order")
     dated = instants(links.select("mail_id", "site_id", "date_hdr").join(site, "site_id", "left"), "date_hdr", "day_order", "tz_name", keep=["mail_id"])
     joined = mail.join(links.drop("date_hdr", "site_id"), "mail_id", "left").join(dated, "mail_id", "left")
-    return new_lines(joined.withColumn("sent", F.coalesce("utc_us", "ingested")), clean)
+    return new_lines(joined.withColumn("sent", F.coalesce("utc_us", "ingested")))
 
 
 def _with_variants(spark: SparkSession, folder: str, name: str, row_id: str, column: str) -> DataFrame:
