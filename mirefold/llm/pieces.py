@@ -114,8 +114,8 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
     raw = text.encode()
     if len(raw) <= limit:
         return [(0, 0, len(raw))]
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be smaller than the limit")
+    if not 0 <= overlap <= limit - 4:
+        raise ValueError("the limit must leave room for a character beside the overlap")
     room = limit - overlap
     out, at, floor = [], 0, 0
     for body in merged(atoms(raw, room), room):

@@ -6,7 +6,7 @@ from mirefold.llm.pieces import pieces_of, split_texts
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab é.,;!?\n\r日", max_size=400), st.integers(8, 60), st.integers(0, 7))
+@given(st.text(alphabet="ab é.,;!?\n\r日", max_size=400), st.integers(12, 60), st.integers(0, 7))
 def test_round_trip(text, limit, overlap):
     raw, cut = text.encode(), pieces_of(text, limit, overlap)
     assert b"".join(raw[body:end] for _, body, end in cut) == raw
