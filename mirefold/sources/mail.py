@@ -61,6 +61,8 @@ class _Visible(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style", "head", "title") and self.hidden:
             self.hidden -= 1
+        if tag in ("p", "div", "tr", "li", "h1", "h2", "h3"):
+            self.parts.append("\n")
         if tag == "a" and self.link:
             self.links.append((self.link[0], "".join(self.link[1:]).strip()))
             self.link = None
