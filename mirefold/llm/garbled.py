@@ -190,8 +190,8 @@ def _cells(points: np.ndarray) -> np.ndarray:
 
 
 def _plain(points: np.ndarray) -> np.ndarray:
-    """White space as one blank, digits as 0."""
-    points = np.where((points == 9) | (points == 10) | (points == 13), 32, points)
+    """White space (the no-break space too) as one blank, digits as 0."""
+    points = np.where((points == 9) | (points == 10) | (points == 13) | (points == 0xA0), 32, points)
     return np.where((points >= 48) & (points <= 57), 48, points)
 
 
@@ -244,8 +244,9 @@ class Restorer:
     def _scores(self, points: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per word the total of log counts of three characters with a non-ASCII one, and how many they are."""
         value, count = np.zeros(len(points)), np.zeros(len(points), np.int64)
+        points = _plain(points)
         three = (np.maximum(np.maximum(points[:-2], points[1:-1]), points[2:]) > 0x7F) & inside[:-2]
-        value[:-2][three] = self.log_counts[_cells(_plain(points))[three]]
+        value[:-2][three] = self.log_counts[_cells(points)[three]]
         count[:-2] = three
         return np.add.reduceat(value, starts), np.add.reduceat(count, starts)
 

@@ -133,7 +133,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return senders.unionByName(_with_variants(spark, folder, "ioc", "ioc_id", "value")).unionByName(_with_variants(spark, folder, "lookalike_hit", "hit_id", "value"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces}
+def p7_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """Indicators and hits whose text contains variant characters."""
+    return _with_variants(spark, folder, "ioc", "ioc_id", "value").unionByName(_with_variants(spark, folder, "lookalike_hit", "hit_id", "value"))
+
+
+def p8_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tokens of each document the containers hold."""
+    return p8_containers(spark, folder).groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"))
+
+
+def p10_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tokens of each document the pieces hold besides their overlaps."""
+    return p10_pieces(spark, folder, with_text=False).groupBy("doc_id").agg(F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("tokens"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces, "p7_indicators": p7_indicators, "p8_whole": p8_whole, "p10_whole": p10_whole}
 
 _DUCK_KEYS = r"""
 with src as (
@@ -150,7 +165,20 @@ k as (
     regexp_replace(regexp_replace(lower(o), '[\s\p{Z}"''`´＂＇\p{Pi}\p{Pf}\p{Ps}\p{Pe}<>＜＞]', '', 'g'), '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g') as o
   from src where v is not null)
 """
+_WHOLE = "select doc_id, cast(sum(strlen(text)) as bigint) as tokens from documents where text is not null group by 1"
+_VARIANT = "|".join(
+    (
+        r"[\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]",
+        r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]",
+        r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]",
+        r"\p{L}[\x{0300}-\x{036F}]",
+        r"\p{Latin}[\p{Cyrillic}\p{Greek}]|\p{Cyrillic}[\p{Latin}\p{Greek}]|\p{Greek}[\p{Latin}\p{Cyrillic}]",
+    )
+)
 SQL = {
+    "p7_indicators": f"select 'ioc' as tbl, ioc_id as row_id from ioc where regexp_matches(value, '{_VARIANT}') union all select 'lookalike_hit', hit_id from lookalike_hit where regexp_matches(value, '{_VARIANT}')",
+    "p8_whole": _WHOLE,
+    "p10_whole": _WHOLE,
     "p4_found": _DUCK_KEYS + "select tbl, id as row_id, first_id from (select *, min(id) over (partition by tbl, t, v, o) as first_id from k) where id <> first_id",
     "p4_copies": _DUCK_KEYS + "select tbl, min(id) as first_id, count(*) as copies from k group by tbl, t, v, o",
     "p10_found": "select doc_id from documents where strlen(text) > (select max_tokens from size_limit where purpose = 'piece')",
