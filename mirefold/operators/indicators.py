@@ -155,17 +155,23 @@ def merged(df: DataFrame, group: str, order: str) -> DataFrame:
     of all in order of strength; rewrites joined by a bar.
 
     Null tags count as none; null values are left out; `order` breaks ties and must be unique
-    within a group. One partial aggregation precedes the only shuffle.
+    within a group. Writings, tags and rewrites are first counted each by itself, with partial
+    sums, so that a hot indicator arrives as its distinct tags and not as its rows.
     """
-    strength = F.struct((-priority()).alias("p"), F.col(order).alias("o"))
     rows = df.where("value is not null").withColumn("key", merge_key(F.col("ioc_type"), F.col("value")))
-    agg = rows.groupBy(group, "ioc_type", "key").agg(
-        F.min_by("value", strength).alias("value"),
-        F.array_sort(F.collect_list(F.struct((-priority()).alias("p"), F.col(order).alias("o"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.trim(F.coalesce("rewritten_from", F.lit(""))).alias("rw")))).alias("all"),
+    empty = F.array().cast("array<string>")
+    item = lambda kind, value, pos: F.struct(F.lit(kind).alias("kind"), value.alias("item"), pos.cast("int").alias("pos"))
+    items = F.concat(
+        F.array(item("v", F.col("value"), F.lit(0)), item("r", F.trim(F.coalesce("rewritten_from", F.lit(""))), F.lit(0))),
+        F.transform(F.coalesce("tags", empty), lambda t, i: item("t", t, i)),
     )
-    tags = F.array_distinct(F.flatten(F.transform("all", lambda x: x["tags"])))
-    rewritten = F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x["rw"]), lambda x: x != "")), " | ")
-    return agg.select(group, "ioc_type", "key", "value", tags.alias("tags"), rewritten.alias("rewritten"), F.size("all").alias("copies"), priority_of(tags).alias("priority"))
+    each = rows.select(group, "ioc_type", "key", (-priority()).alias("p"), F.col(order).alias("o"), F.explode(items).alias("i"))
+    distinct = each.groupBy(group, "ioc_type", "key", F.col("i.kind").alias("kind"), F.col("i.item").alias("item")).agg(F.min(F.struct("p", "o", "i.pos")).alias("first"), F.count("*").alias("n"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("item").isNotNull() & (F.col("item") != ""), F.struct("first", "item"))))
+    agg = distinct.groupBy(group, "ioc_type", "key").agg(F.min_by("item", F.when(F.col("kind") == "v", F.col("first"))).alias("value"), of("t").alias("tags"), of("r").alias("rewritten"), F.sum(F.when(F.col("kind") == "v", F.col("n"))).cast("int").alias("copies"))
+    names = lambda c: F.transform(c, lambda x: x["item"])
+    out = agg.select(group, "ioc_type", "key", "value", names("tags").alias("tags"), F.array_join(names("rewritten"), " | ").alias("rewritten"), "copies")
+    return out.withColumn("priority", priority_of(F.col("tags")))
 
 
 def priority_of(tags: Column) -> Column:

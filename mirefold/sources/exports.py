@@ -101,11 +101,17 @@ def opencti_type(kind: Column) -> Column:
     return F.coalesce(_map(kind, OPENCTI_TYPES), F.lit("Text"))
 
 
-def report_json(messages: DataFrame, indicators: DataFrame, on: str = "msg_id", order: str = "ord") -> DataFrame:
-    """(on, report): a JSON report a message with its indicators in order; as large as the message's own indicators."""
-    items = indicators.groupBy(on).agg(F.array_sort(F.collect_list(F.struct(order, "ioc_type", "value", "source", "context", "rewritten_from", "tags"))).alias("iocs"))
+def report_json(messages: DataFrame, indicators: DataFrame, on: str = "msg_id", order: str = "ord", per_part: int = 1000) -> DataFrame:
+    """(on, part_no, report): JSON reports of a message with its indicators in order.
+
+    A report holds the indicators of per_part places (`order` counts from 1), so a message with
+    very many becomes several parts; one without any has part 0 with an empty list.
+    """
+    part = F.floor((F.coalesce(order, F.lit(1)) - 1) / per_part).cast("int")
+    items = indicators.groupBy(on, part.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct(order, "ioc_type", "value", "source", "context", "rewritten_from", "tags"))).alias("iocs"))
     others = [c for c in messages.columns if c != on]
-    return messages.join(items, on, "left").select(on, F.to_json(F.struct(*others, F.coalesce("iocs", F.array().cast(items.schema["iocs"].dataType)).alias("iocs"))).alias("report"))
+    number = F.coalesce("part_no", F.lit(0)).alias("part_no")
+    return messages.join(items, on, "left").select(on, number, F.to_json(F.struct(*others, number, F.coalesce("iocs", F.array().cast(items.schema["iocs"].dataType)).alias("iocs"))).alias("report"))
 
 
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
