@@ -105,6 +105,34 @@ def transform(run: str, read: str, meant: str, rounds: int, partly: bool = False
     return out
 
 
+_HINT = re.compile("[ÃÂÐÑâĂÅ├╨╤┬√∂ΓÔ‚][^\x00-\x7f]|[РСГв][^\x00-\x7fа-яА-ЯёЁ]")
+_USUAL = ("cp1252", "cp437", "cp1251", "cp850", "mac-roman", "iso8859-2", "cp1250")
+
+
+def well_formed(text: str) -> str:
+    """A text whose lines, where their non-ASCII runs mostly make well-formed
+    UTF-8 under one encoding, are read so (twice if need be). It needs no
+    corpus and keeps the lines of a text.
+    """
+    if not _HINT.search(text):
+        return text
+    return "\n".join(_well_formed(x) if _HINT.search(x) else x for x in text.split("\n"))
+
+
+def _well_formed(line: str) -> str:
+    for _ in range(2):
+        runs = set(_RUN.findall(line))
+        best: dict[str, str] = {}
+        for read in _USUAL:
+            back = {r: t for r in runs if (t := transform(r, read, "utf-8", 1, partly=True))}
+            if len(back) > len(best):
+                best = back
+        if 2 * len(best) <= len(runs):
+            return line
+        line = _RUN.sub(lambda m: best.get(m[0], m[0]), line)  # noqa: B023
+    return line
+
+
 GRID = [(r, m, 1) for r in READ_AS for m in MEANT_AS if r != m] + [(r, "utf-8", 2) for r in READ_AS]
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirefold.llm.garbled import GRID, Restorer, explain, learn, restored, transform
+from mirefold.llm.garbled import GRID, Restorer, explain, learn, restored, transform, well_formed
 
 NAMES = ["Zoénard Réton", "Hélvault Cléton", "Hülwald Rädmann", "Müllinde Götter", "Núñera Álvón", "Jiméana Ordóido", "Горова Малаков", "Росова Лесченко", "Белаков Зарюк"]
 CLEAN = [f"{n} wrote about café order {k} and the Übersicht number {k * 7}" for k, n in enumerate(NAMES * 40)]
@@ -54,3 +54,11 @@ def test_nothing_to_learn(spark):
     m = learn(empty, {"v": F.col("v")})
     assert m.transformations == [] and m("Café") == ("Café", None)
     assert isinstance(m, Restorer) and m.log_counts.max() <= np.log(0.5) + 1e-6
+
+
+@pytest.mark.parametrize("text", ["Viele Grüße aus Köln", "С уважением, Росова", "Réponse à l’été – ça va"])
+def test_well_formed_runs(text):
+    bad = "clean line é\n" + damage(text, "latin-1", "utf-8")
+    assert well_formed(bad) == "clean line é\n" + text
+    assert well_formed(damage(damage(text, "latin-1", "utf-8"), "latin-1", "utf-8")) == text
+    assert well_formed(text) == text and well_formed("") == ""
