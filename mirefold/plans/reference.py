@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from mirefold.functions import rewriters
 from mirefold.functions import text as tx
 from mirefold.operators import campaigns, indicators, lookalikes, scoring
 from mirefold.operators import signals as signal_rules
-from mirefold.session import table
+from mirefold.session import shared_folder, table
 from mirefold.sources import exports
 from mirefold.sources import mail as mail_source
+from mirefold.streaming import triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -368,7 +370,19 @@ def feedback_weights(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.weight_changes(table(spark, folder, "feedback"), weights)
 
 
-@query()
+@query("""with c as (select count(*) filter (lower(kind) = 'fp') as fp, count(*) filter (lower(kind) = 'fn') as fn, count(*) filter (lower(kind) = 'confirm') as ok,
+  count(*) filter (lower(kind) = 'fp' and lower(trim(segment)) = 'display_spoof') as spoof, count(*) filter (lower(kind) = 'fp' and lower(trim(segment)) in ('safelinks', 'rewrite')) as links from feedback),
+r as (select *, fp / greatest(1, fp + fn) as rate from c where fp + fn + ok >= 3 and fp + fn > 0),
+h as (select *, rate >= 0.55 and fp >= 2 as hp, rate >= 0.35 and rate < 0.55 and fp >= 2 as sp, 1 - rate >= 0.55 and fn >= 2 as hn, 1 - rate >= 0.35 and 1 - rate < 0.55 and fn >= 2 as sn from r),
+s as (select *, case when hp then 35 when sp then 33 end as sus, case when hp then 24 when sp then 26 end as disp, case when hp then 26 end as look from h)
+select setting, cast(value as integer) as value from (
+ select 'threshold_suspicious' as setting, case when hn then greatest(18, coalesce(sus, 30) - 5) when sn then greatest(22, coalesce(sus, 30) - 3) else sus end as value from s
+ union all select 'threshold_malicious', case when hn then greatest(45, case when hp then 65 else 60 end - 5) when hp then 65 end from s
+ union all select 'cap_headers', case when hp then 40 end from s
+ union all select 'cap_lookalike', case when spoof >= 2 then least(coalesce(look, 30), 24) else look end from s
+ union all select 'cap_display_spoof', case when spoof >= 2 then least(coalesce(disp, 28), 22) else disp end from s
+ union all select 'cap_content', case when hn then 45 end from s
+ union all select 'cap_urls', case when links >= 2 then 22 end from s) where value is not null""")
 def feedback_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.threshold_changes(table(spark, folder, "feedback"))
 
@@ -494,3 +508,37 @@ select * from f where severity is not null""")
 def header_findings(spark: SparkSession, folder: str) -> DataFrame:
     """What the header fields of each message give away."""
     return signal_rules.header_findings(table(spark, folder, "mail_identity"), "ident_id")
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file in the folder or a folder of files."""
+    files = table(spark, folder, name)
+    reader = spark.readStream.schema(files.schema)
+    if all(f.rpartition("/")[0].endswith(f"/{name}.parquet") for f in files.inputFiles()):
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+@query("select strftime(ingested_at, '%Y-%m-%d') as day, coalesce(verdict_level, 'none') as level, count(*) as messages from triage where ingested_at is not null group by all")
+def stream_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict levels by day, counted by a stream over the triage rows that are there."""
+    rows = _stream(spark, folder, "triage")
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    counted = triage.level_counts(rows.where("ingested_at is not null"), "ingested_at")
+    query_ = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.parquet(f"{place}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "level", "messages")
+
+
+@query("select lower(message_id) as id, count(*) as n from (select distinct lower(trim(message_id)) as message_id from triage where ingested_at is not null and trim(message_id) <> '') group by 1")
+def stream_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Each identifier once, by a stream over the triage rows that are there."""
+    rows = _stream(spark, folder, "triage")
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    first = triage.once(rows.where("ingested_at is not null").withColumn("id", F.lower(F.trim("message_id"))).where("id <> ''"), "id", "ingested_at", "10000 days")
+    query_ = first.select("id").writeStream.outputMode("append").option("checkpointLocation", f"{place}/state").format("parquet").option("path", f"{place}/out").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema("id string").parquet(f"{place}/out").groupBy("id").agg(F.count("*").alias("n"))

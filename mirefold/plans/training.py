@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mirefold.operators.packed import split_packed
 from mirefold.operators.quotient import redelivered
 from mirefold.operators.timestamps import instants
+from mirefold.plans.training_sql import dates_sql
 from mirefold.session import table
 
 
@@ -53,6 +54,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
 SQL: dict[str, str] = {
+    "p1_found": dates_sql(),
     "p2_found": r"""
 with k as (
   select 'triage' as tbl, triage_id as row_id, ingested_at,
