@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from email.header import decode_header, make_header
 from email.message import Message
 from html.parser import HTMLParser
 
@@ -148,17 +149,25 @@ def _tidy(raw: bytes) -> bytes:
     return raw.removeprefix(b"\xef\xbb\xbf").lstrip(b"\r\n")
 
 
+def header_text(value: str) -> str:
+    """A header's value on one line, encoded words decoded; raw bytes are read as UTF-8."""
+    value = re.sub(r"\r?\n(?=[ \t])", "", value).strip()
+    if not value.isascii():
+        value = value.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    if "=?" in value:
+        try:
+            value = str(make_header(decode_header(value)))
+        except (LookupError, ValueError):  # an unknown charset: the words stay encoded
+            pass
+    return value
+
+
 def parse_message(path: str, raw: bytes) -> dict:
     """One message: headers in order, text, HTML and attachments, mails inside mails to depth 2."""
     out: dict = {"path": path, "kind": "email", "source_sha256": hashlib.sha256(raw).hexdigest(), "headers": [], "text": "", "html": "", "attachments": [], "errors": []}
     message = email.message_from_bytes(_tidy(raw), policy=email.policy.compat32)
-    policy = email.policy.default
-    for i, (name, value) in enumerate(message.items()):
-        try:
-            shown = str(policy.header_fetch_parse(name, str(value)))
-        except Exception:  # noqa: BLE001  a header that can't be parsed stays as it is
-            shown = str(value)
-        out["headers"].append({"ord": i, "name": name, "value": shown})
+    for i, (name, value) in enumerate(message.raw_items()):
+        out["headers"].append({"ord": i, "name": name, "value": header_text(str(value))})
     texts, pages = [], []
 
     def walk(part: Message, depth: int) -> None:
