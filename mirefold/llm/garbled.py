@@ -172,10 +172,12 @@ def explain(garbled: str, clean: str) -> frozenset[int]:
 
 
 def _segments(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(seg, count, line): each distinct line with a non-ASCII character, numbers masked, with one of its writings."""
     each = F.flatten(F.array(*[F.coalesce(F.split(c, r"\n"), F.array().cast("array<string>")) for c in fields.values()]))
     masked = F.regexp_replace(F.regexp_replace("line", "[0-9]+", "0"), r"^[\s>]+|\s+$", "")
     lines = df.select(F.explode(each).alias("line")).where(F.octet_length("line") > F.length("line"))
-    return lines.select(masked.alias("seg"))
+    each_once = lines.select(masked.alias("seg"), "line").groupBy("seg").agg(F.count("*").alias("count"), F.min("line").alias("line"))
+    return written(each_once, "segments")
 
 
 def twins(segments: DataFrame) -> DataFrame:
@@ -183,7 +185,7 @@ def twins(segments: DataFrame) -> DataFrame:
     the same text without non-ASCII characters. Pairs are as many as segments.
     """
     key = F.regexp_replace("seg", r"[^\x20-\x7E]+", "")
-    counted = written(segments.groupBy("seg").count().withColumn("key", key).where(F.length(F.regexp_replace("key", "[^A-Za-z0-9]", "")) >= ANCHORS), "segments")
+    counted = segments.select("seg", "count", key.alias("key")).where(F.length(F.regexp_replace("key", "[^A-Za-z0-9]", "")) >= ANCHORS)
     reference = counted.groupBy("key").agg(F.max_by("seg", F.struct("count", "seg")).alias("reference"), F.count("*").alias("n")).where("n > 1")
     return counted.join(reference.select("key", "reference"), "key").where("seg <> reference").select("reference", F.col("seg").alias("other"))
 
@@ -223,9 +225,11 @@ def _plain(points: np.ndarray) -> np.ndarray:
     return np.where((points >= 48) & (points <= 57), 48, points)
 
 
-def learn_counts(df: DataFrame, fields: dict[str, Column]) -> np.ndarray:
-    """Hashed counts, over all texts, of three characters in a row of which one isn't ASCII."""
-    texts = df.select(F.explode(F.array(*fields.values())).alias("v")).where("v is not null and v rlike '[^\\\\x00-\\\\x7F]'")
+def learn_counts(segments: DataFrame) -> np.ndarray:
+    """Hashed counts of three characters in a row of which one isn't ASCII,
+    each distinct segment counting once: copies don't make a writing usual.
+    """
+    texts = segments.select("line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -355,8 +359,9 @@ class Restorer:
 
 def learn(df: DataFrame, fields: dict[str, Column], support: int = SUPPORT) -> Restorer:
     """Transformations and counts from all rows of the given fields."""
-    transformations = learn_transformations(_segments(df, fields), support)
-    return Restorer(transformations, np.log(learn_counts(df, fields) + 0.5).astype(np.float32))
+    segments = _segments(df, fields)
+    transformations = learn_transformations(segments, support)
+    return Restorer(transformations, np.log(learn_counts(segments) + 0.5).astype(np.float32))
 
 
 def restored(df: DataFrame, row_id: str, fields: dict[str, Column], model: Restorer) -> DataFrame:

@@ -62,3 +62,12 @@ def test_well_formed_runs(text):
     assert well_formed(bad) == "clean line é\n" + text
     assert well_formed(damage(damage(text, "latin-1", "utf-8"), "latin-1", "utf-8")) == text
     assert well_formed(text) == text and well_formed("") == ""
+
+
+def test_copies_of_a_garbled_message_do_not_make_it_usual(spark):
+    clean = [f"Report from office {a}{b}xyz: проверьте договор сегодня вечером" for a in "abcdef" for b in "ghijkl"]
+    bad = [damage(t, "cp1251", "koi8-r") for t in clean[:4]]
+    bulk = damage("Bulk letter to everybody here: просим проверить договор вечером", "cp1251", "koi8-r")
+    df = spark.createDataFrame(list(enumerate([*clean, *bad, *[bulk] * 40])), "id long, v string")
+    fields = {"v": F.col("v")}
+    assert {r["row_id"] for r in restored(df, "id", fields, learn(df, fields)).collect()} == set(range(36, 80))
