@@ -12,6 +12,7 @@ from mirefold.functions import rewriters
 from mirefold.functions import text as tx
 from mirefold.operators import campaigns, indicators, lookalikes, scoring
 from mirefold.operators import signals as signal_rules
+from mirefold.operators.packed import split_packed
 from mirefold.session import shared_folder, table
 from mirefold.sources import exports
 from mirefold.sources import mail as mail_source
@@ -147,8 +148,12 @@ def url_unwrapped(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def url_unwrap_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Targets of rewritten links through up to five rewriters, with the chain."""
-    rows = table(spark, folder, "ioc").where(F.col("rewritten_from").rlike(r'^https?://[^\s,;|"]+$')).select("ioc_id", "rewritten_from")
-    return rewriters.unwrap(rows, "rewritten_from").select("ioc_id", "unwrapped", F.array_join("chain", ">").alias("chain"))
+    rows = table(spark, folder, "ioc")
+    packed = split_packed(rows, "ioc_id", {"rewritten_from": F.col("rewritten_from")}).select(F.col("row_id").alias("ioc_id"), "pos", "value")
+    single = rows.where(F.trim("rewritten_from") != "").join(packed.select("ioc_id").distinct(), "ioc_id", "left_anti")
+    bare = F.regexp_replace("rewritten_from", r"""^[\s"'<]+|[\s"'>]+$""", "")
+    every = packed.unionByName(single.select("ioc_id", F.lit(1).alias("pos"), bare.alias("value")))
+    return rewriters.unwrap(every, "value").select("ioc_id", "pos", "unwrapped", F.array_join("chain", ">").alias("chain"))
 
 
 @query(r"""select ident_id, case when instr(inner_, '@') > 0 then regexp_replace(split_part(inner_, '@', -1), '^>+|>+$', '', 'g') else '' end as domain from (
