@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +120,17 @@ def well_formed(text: str) -> str:
     return "\n".join(_well_formed(x) if _HINT.search(x) else x for x in text.split("\n"))
 
 
+def well_formed_texts(column: pa.Array) -> pa.Array:
+    """well_formed of each text of a batch; only texts with a hint leave the array."""
+    at = np.flatnonzero(pc.match_substring_regex(column, _HINT.pattern.replace("\\x00-\\x7f", "\\x00-\\x7F")).fill_null(False).to_numpy(zero_copy_only=False))
+    if not len(at):
+        return column
+    mask = np.zeros(len(column), bool)
+    mask[at] = True
+    texts = pa.array([well_formed(t) for t in column.take(pa.array(at)).to_pylist()], column.type)
+    return pc.replace_with_mask(column, pa.array(mask), texts)
+
+
 def _well_formed(line: str) -> str:
     for _ in range(2):
         runs = set(_RUN.findall(line))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirefold.llm.garbled import Restorer, learn, restored, well_formed
+from mirefold.llm.garbled import Restorer, learn, restored, well_formed_texts
 from mirefold.llm.mixing import mixed
 from mirefold.llm.newtext import new_lines
 from mirefold.llm.packing import packed
@@ -117,7 +117,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     site = table(spark, folder, "site").select("site_id", "tz_name", "day_order")
     dated = instants(links.select("mail_id", "site_id", "date_hdr").join(site, "site_id", "left"), "date_hdr", "day_order", "tz_name", keep=["mail_id"])
     joined = mail.join(links.drop("date_hdr", "site_id"), "mail_id", "left").join(dated, "mail_id", "left")
-    return new_lines(joined.withColumn("sent", F.coalesce("utc_us", "ingested")), clean=lambda: well_formed)
+    return new_lines(joined.withColumn("sent", F.coalesce("utc_us", "ingested")), clean=well_formed_texts)
 
 
 def _with_variants(spark: SparkSession, folder: str, name: str, row_id: str, column: str) -> DataFrame:
