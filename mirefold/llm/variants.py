@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from mirefold.functions.codepoints import explode_codepoints, pack_codepoints
 
-LAST = 0x20000  # beyond it (rare ideographs) every code point stands for itself
+LAST = 0xE0200  # beyond it are only characters for private use, which stand for themselves
+#: Ranges without a character that needs a look-up: ideographs, syllables, surrogates and private use; and what isn't assigned.
+PLAIN_RANGES = ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x20000, 0x2F800), (0x2FA20, 0x32400))
+EMPTY_RANGE = (0x32400, 0xE0000)
 # Letters that look like a Latin one, by pairs (letter, Latin).
 LATIN_TWINS = (
     "аa вb еe кk мm нh оo рp сc тt уy хx іi їi јj ѕs ԁd һh ԛq ԝw ѵv ӏl ɡg пn гr ьb зz "
@@ -50,18 +53,16 @@ class Tables:
         pairs: dict[int, int] = {}
         for a, b in MARK_RANGES:
             self.mark[a : b + 1] = True
-        for c in range(LAST):
-            if 0xD800 <= c < 0xE000 or 0xE000 <= c < 0xF900 or 0xAC00 <= c < 0xD7A4 or 0x3400 <= c < 0xA000:
-                if not 0xD800 <= c < 0xF900:
-                    self.letter[c] = True
-                continue
+        for a, b in PLAIN_RANGES:
+            self.letter[a:b] = a != 0xD800
+        for c in _looked_up():
             s = chr(c)
             kind = unicodedata.category(s)
             if kind == "Cn":
                 continue
             self.letter[c] = kind[0] == "L"
             self.order[c] = unicodedata.combining(s)
-            if (kind == "Cf" and c > 0x7F and not 0x600 <= c <= 0x8FF) or 0xFE00 <= c <= 0xFE0F or c in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0):
+            if (kind == "Cf" and c > 0x7F and not 0x600 <= c <= 0x8FF) or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or c in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0):
                 self.invisible[c] = True
                 continue
             if kind == "Zs" and c != 0x20:
@@ -84,13 +85,18 @@ class Tables:
                 if len(parts) == 2 and unicodedata.normalize("NFC", s) == s:
                     pairs[parts[0] << 21 | parts[1]] = c
         self.script[ord("µ")] = 0
-        self.length = np.ones(LAST + 1, np.int64)
+        self.length = np.ones(LAST + 1, np.uint8)
         flat: list[int] = []
-        self.start = np.zeros(LAST + 1, np.int64)
+        self.start = np.zeros(LAST + 1, np.int32)
         for c, text in expansions.items():
             self.length[c], self.start[c] = len(text), len(flat)
             flat += map(ord, text)
         self.flat = np.array(flat, np.uint32)
+        for lead in range(19):  # Hangul: a consonant and a vowel, then a consonant after them
+            for vowel in range(21):
+                both = 0xAC00 + (lead * 21 + vowel) * 28
+                pairs[(0x1100 + lead) << 21 | (0x1161 + vowel)] = both
+                pairs |= {both << 21 | (0x11A7 + tail): both + tail for tail in range(1, 28)}
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys, self.pair_values = keys, np.array([pairs[k] for k in keys.tolist()], np.uint32)
         self.to_latin, self.to_cyrillic = np.zeros(LAST + 1, np.uint32), np.zeros(LAST + 1, np.uint32)
@@ -100,6 +106,15 @@ class Tables:
                 self.to_cyrillic[ord(latin)] = ord(letter)
 
 
+def _looked_up() -> Iterator[int]:
+    bounds = sorted([*PLAIN_RANGES, EMPTY_RANGE])
+    at = 0
+    for a, b in bounds:
+        yield from range(at, a)
+        at = b
+    yield from range(at, LAST)
+
+
 @functools.cache
 def tables() -> Tables:
     return Tables()
@@ -157,6 +172,43 @@ def variant_flags(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _composed(t: Tables, points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks composed with their starter, from left to right.
+
+    A mark reaches its starter over marks of lower class that stay; each mark
+    is tried once. In a round every starter takes the first mark that it
+    composes with, so there are as many rounds as the most marks on a letter.
+    """
+    tried = np.zeros(len(points), bool)
+    while len(points) > 1:
+        order = t.order[np.minimum(points, LAST)]
+        place = np.arange(len(points))
+        starts = (order == 0) | np.r_[True, row[1:] != row[:-1]]
+        before = np.maximum.accumulate(np.where(starts, place, 0))  # the starter of each mark
+        starter = np.where(starts, np.maximum(place - 1, 0), before)
+        same = row[starter] == row
+        near = starter == place - 1
+        reach = near & starts[starter] | ~starts & (np.r_[0, order[:-1]] < order)
+        key = points[starter].astype(np.int64) << 21 | points.astype(np.int64)
+        where = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
+        hit = np.flatnonzero((t.pair_keys[where] == key) & same & reach & ~tried & (place > 0))
+        if not len(hit):
+            break
+        consumed = np.zeros(len(points), bool)
+        consumed[hit] = starts[hit]
+        hit = hit[~consumed[starter[hit]]]  # what is about to join another one waits
+        hit = hit[np.r_[True, starter[hit[1:]] != starter[hit[:-1]]]]
+        limit = np.zeros(len(points), np.int64)
+        limit[starter[hit]] = hit
+        tried |= ~starts & (place < limit[before])
+        points = points.copy()
+        points[starter[hit]] = t.pair_values[where[hit]]
+        left = np.ones(len(points), bool)
+        left[hit] = False
+        points, row, tried = points[left], row[left], tried[left]
+    return points, row
+
+
 def common_form(column: pa.Array) -> pa.Array:
     """The column in its common form; nulls stay null.
 
@@ -174,6 +226,7 @@ def common_form(column: pa.Array) -> pa.Array:
     points, c, row = points[keep], c[keep], row[keep]
     points = np.where(t.space[c], np.uint32(0x20), points)
     length = t.length[c]  # expand: gather from the flat table at running offsets
+    length = length.astype(np.int64)
     total = np.zeros(len(c) + 1, np.int64)
     np.cumsum(length, out=total[1:])
     source = np.repeat(np.arange(len(c)), length)
@@ -191,17 +244,7 @@ def common_form(column: pa.Array) -> pa.Array:
         swap = swap[np.r_[True, np.diff(swap) > 1]]
         points[swap], points[swap + 1] = points[swap + 1].copy(), points[swap].copy()
         c = np.minimum(points, LAST)
-    while len(points) > 1:  # compose each mark with the letter before it, from left to right
-        key = points[:-1].astype(np.int64) << 21 | points[1:].astype(np.int64)
-        where = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
-        hit = np.flatnonzero((t.pair_keys[where] == key) & (row[:-1] == row[1:]))
-        if not len(hit):
-            break
-        hit = hit[np.r_[True, np.diff(hit) > 1]]
-        points[hit] = t.pair_values[where[hit]]
-        left = np.ones(len(points), bool)
-        left[hit + 1] = False
-        points, row = points[left], row[left]
+    points, row = _composed(t, points, row)
     c = np.minimum(points, LAST)
     at, run = _letter_runs(t, c, row, t.mark[c])
     if len(at):
@@ -214,7 +257,7 @@ def common_form(column: pa.Array) -> pa.Array:
         mixed = (total_of(latin) > 0) & (total_of(foreign) > 0)
         to_latin = mixed & (total_of(foreign & ~foldable) == 0)
         back = latin & (t.to_cyrillic[c[at]] > 0)
-        to_cyrillic = mixed & ~to_latin & (total_of(latin & ~back) == 0)
+        to_cyrillic = mixed & ~to_latin & (total_of(latin & ~back) == 0) & (total_of(foreign & (script != CYRILLIC)) == 0)
         fold = at[to_latin & foldable]
         points[fold] = t.to_latin[c[fold]]
         fold = at[to_cyrillic & back]
@@ -230,7 +273,7 @@ def normalised(df: DataFrame, column: str, out: str = "common", flags: str = "va
 
     Nulls give a null form and flags 0; empty texts stay empty; texts of any
     length are handled whole; rows and their order within a partition stay as
-    they are. Hangul written as single jamo stays so. `out` and `flags` may
+    they are. `out` and `flags` may
     not be columns of df. `only_changed` keeps only the rows with flags; plain
     ASCII rows are then told apart before any Python runs.
     """

@@ -25,6 +25,21 @@ def test_composition_is_nfc(texts):
     assert common_form(pa.array(texts)).to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
 
 
+def test_composition_reaches_over_marks_that_stay():
+    texts = ["a\u0323\u0323\u0302", "a\u0327\u0323\u0302\u0301", "\u1100\u1161\u11a8\u1100\u1161", "각\u11a8", "\U0002f800", "ｶﾞ", "a\u0301\u0301", "\u0301a", "\u09c7\u09be\u09be"]
+    assert common_form(pa.array(texts)).to_pylist() == [unicodedata.normalize("NFKC" if t == "ｶﾞ" else "NFC", t) for t in texts]
+
+
+def test_every_canonical_form():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (how := unicodedata.decomposition(chr(c))) and how[0] != "<" and c not in (0x2000, 0x2001)]
+    assert len(points) > 2000 and common_form(pa.array(points)).to_pylist() == [unicodedata.normalize("NFC", p) for p in points]
+
+
+@pytest.mark.parametrize("text", ["zΐ", "ab\U000e0101c\U000f0000"])
+def test_other_scripts_and_planes(text):
+    assert common_form(pa.array([text])).to_pylist() == [text.replace("\U000e0101", "")]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=8)), max_size=6))
 def test_twice_is_once(texts):
