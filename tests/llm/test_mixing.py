@@ -39,3 +39,24 @@ def test_inclusion_is_even(spark):
         out = mixed(df, "doc_id", "text", "source", [("big", 1.0, 1)], seed=seed, total=30_000).toPandas()
         hits += (out.doc_id < 1500).sum() / len(out)
     assert 0.4 < hits / 6 < 0.6
+
+
+def test_chances_grow_with_size(spark):
+    df = spark.createDataFrame([(i, "x" * (10 if i % 2 else 200), "a") for i in range(4000)], "doc_id long, text string, source string")
+    long_share = lambda power: (mixed(df, "doc_id", "text", "source", [("a", 1.0, 1)], total=60_000, power=power).toPandas().n_tokens == 200).mean()
+    assert 0.4 < long_share(0.0) < 0.6 and long_share(1.0) > 0.9
+
+
+def test_odds_decide_at_the_cut(spark):
+    df = spark.createDataFrame([(i, "x" * (10 if i % 2 else 40), "a") for i in range(4000)], "doc_id long, text string, source string")
+    out = mixed(df, "doc_id", "text", "source", [("a", 1.0, 2)], total=120_000).toPandas()
+    assert abs((out.n_tokens * out.copies).sum() - 120_000) <= 40
+    by_size = out.groupby("n_tokens").copies.sum() / 2000
+    assert 3.5 < by_size[40] / by_size[10] < 4.5  # expected copies are in proportion to size
+    assert out[out.n_tokens == 40].copies.min() == 1  # the whole part is certain
+
+
+def test_a_repeated_id_is_one(spark):
+    df = spark.createDataFrame([(1, "x" * 20, "a")] * 5000 + [(i, "x" * 20, "a") for i in range(2, 3000)], "doc_id long, text string, source string")
+    out = mixed(df, "doc_id", "text", "source", [("a", 1.0, 1)], total=40_000).toPandas()
+    assert (out.doc_id == 1).sum() in (0, 5000)
