@@ -3,11 +3,14 @@
 1. Twins: segments that are equal without their non-ASCII characters (numbers
    masked) are joined; of each group the most frequent writing is the
    reference, and each other one is aligned with it.
-2. Transformations: the aligned characters of a pair are explained by pairs of
-   encodings (read as, meant as); how many pairs each explains is counted.
-3. Application: the transformations learned from twins are applied to every
-   word with non-ASCII characters. A word is garbled if a transformation makes
-   it out of character sequences that are far more usual in the whole corpus.
+2. Transformations: of a pair the less usual writing is the garbled one. Its
+   characters are aligned with the other's between the ASCII text that both
+   have. A pair of encodings (read as, meant as) that explains all of them is
+   counted as a whole; of pairs that none explains the aligned characters
+   themselves are counted, and those that mostly go together make a mapping.
+3. Application: what was learned from twins is applied to every word with
+   non-ASCII characters. A word is garbled if a transformation makes it out of
+   character sequences that are far more usual in the whole corpus.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ READ_AS = ("cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp852",
 MEANT_AS = ("utf-8", "cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "iso8859-2", "cp1250", "iso8859-5")
 #: Cells of the hashed counts of three characters in a row: the model's size, whatever the corpus.
 CELLS = 1 << 20
-#: Pairs of twins that a transformation must explain to be applied.
-SUPPORT = 2
+#: Pairs of twins that a transformation must explain to be applied, and the share of its pairs in which a character of a mapping stands for the same one.
+SUPPORT, MAPPED_SHARE = 2, 0.8
+#: Characters of a mapping that come to the driver at most; code charts have no more.
+MAPPED_MOST = 1 << 16
 #: How much more usual (mean log of counts) the restored word must be, and by how much in total over the field.
 MARGIN, TOTAL = 1.2, 4.0
 #: What it counts for that all of a word's non-ASCII characters make well-formed UTF-8, which is rare by chance.
@@ -183,6 +188,39 @@ def explain(garbled: str, clean: str) -> frozenset[int]:
     return left or frozenset()
 
 
+def aligned(garbled: str, clean: str) -> dict[str, str] | None:
+    """The characters of one text (one or several) that stand for a character
+    of its twin, by the runs between the ASCII text of both; None where runs
+    can't be aligned or contradict each other.
+    """
+    a, b = _RUN.findall(garbled), _RUN.findall(clean)
+    if not a or len(a) != len(b):
+        return None
+    out: dict[str, str] = {}
+    for x, y in zip(a, b, strict=True):
+        width, rest = divmod(len(x), len(y))
+        if rest:
+            return None
+        for i, c in enumerate(y):
+            if out.setdefault(x[i * width : (i + 1) * width], c) != c:
+                return None
+    return {u: c for u, c in out.items() if u != c}
+
+
+def mapped(run: str, mapping: dict[str, str], longest: int) -> str | None:
+    """A run with the mapping applied to all of it; None where a character isn't in it."""
+    out, i = [], 0
+    while i < len(run):
+        for n in range(longest, 0, -1):
+            if (c := mapping.get(run[i : i + n])) is not None and len(run) >= i + n:
+                out.append(c)
+                i += n
+                break
+        else:
+            return None
+    return "".join(out)
+
+
 def _segments(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(seg, count, line): each distinct line with a non-ASCII character, numbers masked, with one of its writings."""
     each = F.flatten(F.array(*[F.coalesce(F.split(c, r"\n"), F.array().cast("array<string>")) for c in fields.values()]))
@@ -202,24 +240,6 @@ def twins(segments: DataFrame) -> DataFrame:
     return counted.join(reference.select("key", "reference"), "key").where("seg <> reference").select("reference", F.col("seg").alias("other"))
 
 
-def learn_transformations(segments: DataFrame, support: int = SUPPORT) -> list[tuple[str, str, int]]:
-    """Transformations that at least `support` pairs of twins agree with; at
-    most the grid's number comes to the driver.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count = np.zeros(len(GRID), np.int64)
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i in explain(y, x) | explain(x, y):
-                    count[i] += 1
-            hit = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(count[hit])], names=["t", "n"])
-
-    counts = twins(segments).mapInArrow(run, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    return [GRID[r["t"]] for r in counts.orderBy(F.desc("n"), "t").collect()]
-
-
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -238,10 +258,12 @@ def _plain(points: np.ndarray) -> np.ndarray:
 
 
 def learn_counts(segments: DataFrame) -> np.ndarray:
-    """Hashed counts of three characters in a row of which one isn't ASCII,
-    each distinct segment counting once: copies don't make a writing usual.
+    """Hashed counts of three characters in a row of which one isn't ASCII.
+
+    A segment counts once and once more for each doubling of its copies: a
+    text sent a million times weighs as much as twenty others.
     """
-    texts = segments.select("line")
+    texts = segments.select("line", (F.floor(F.log2("count")) + 1).cast("long").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -250,7 +272,9 @@ def learn_counts(segments: DataFrame) -> np.ndarray:
             points = _plain(points)
             spaced = np.insert(points, np.repeat(offsets, 2), 32)  # two blanks around each text
             three = np.maximum(np.maximum(spaced[:-2], spaced[1:-1]), spaced[2:]) > 0x7F
-            total += np.bincount(_cells(spaced)[three], minlength=CELLS)
+            row = np.r_[0, np.repeat(np.arange(len(b)), np.diff(offsets) + 2)][:-1] if len(b) else np.zeros(0, np.int64)
+            weight = b.column(1).to_numpy(zero_copy_only=False)
+            total += np.bincount(_cells(spaced)[three], weight[row][three], minlength=CELLS).astype(np.int64)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
 
@@ -271,8 +295,10 @@ class Restorer:
 
     SEEN = 500_000  # words remembered; then all are judged anew
 
-    def __init__(self, transformations: list[tuple[str, str, int]], log_counts: np.ndarray) -> None:
-        self.transformations, self.log_counts = transformations, log_counts
+    def __init__(self, transformations: list[tuple[str, str, int]], mapping: dict[str, str], log_counts: np.ndarray) -> None:
+        self.transformations, self.mapping, self.log_counts = transformations, mapping, log_counts
+        self.longest = max(map(len, mapping), default=0)
+        self.both_ways = set(mapping) & set(mapping.values())  # characters of clean text that also stand for another
         self.seen: set[str] = set()
         self.changed: dict[str, tuple[str, float]] = {}
         self.to_byte, self.to_char = {}, {}
@@ -299,10 +325,15 @@ class Restorer:
         three = np.maximum(np.maximum(points[:-2], points[1:-1]), points[2:]) > 0x7F
         return float(self.log_counts[_cells(points)[three]].sum()), int(three.sum())
 
-    def judge(self, words: list[str]) -> None:
-        """Finds the best reading of each word that is new."""
+    def usual(self, text: str) -> float:
+        """Mean log count of a text's characters."""
+        total, n = self._score(text)
+        return total / max(n, 1)
+
+    def judge(self, words: list[str], depth: int = 0) -> None:
+        """Finds the best reading of each word that is new, and again of what was read."""
         words = [w for w in dict.fromkeys(words) if w not in self.seen]
-        if not words:
+        if not words or depth > 2:
             return
         if len(self.seen) > self.SEEN:
             self.seen.clear()
@@ -340,7 +371,10 @@ class Restorer:
             after, later = np.r_[follows[1:], False], np.r_[follows[2:], False, False]
             sequence = ((raw >= 0xC2) & (raw < 0xE0) & after) | ((raw >= 0xE0) & (raw < 0xF5) & after & later)
             for i in np.flatnonzero(np.logical_or.reduceat(sequence, starts)):
-                changed = [transform(run, read, meant, rounds, partly=True) for run in _RUN.findall(words[i])]
+                runs = _RUN.findall(words[i])
+                changed = [transform(run, read, meant, rounds) for run in runs]
+                well_formed = all(changed)
+                changed = [x or transform(run, read, meant, rounds, partly=True) for x, run in zip(changed, runs, strict=True)]
                 if not any(changed):
                     continue
                 it = iter(changed)
@@ -348,11 +382,23 @@ class Restorer:
                 if text == words[i] or _LOST.search(text):
                     continue
                 score, k = self._score(text)
-                gain = score / k - usual[i] + (WELL_FORMED if all(changed) else 0.0) if k else 0.0
+                gain = score / k - usual[i] + (WELL_FORMED if well_formed else 0.0) if k else 0.0
                 if gain > MARGIN and gain * k > best_gain[i]:
                     best_gain[i], best[i] = gain * k, text
-        for i in np.flatnonzero(best_gain > 0):
-            self.changed[words[i]] = best[i], float(best_gain[i])
+        for i, word in enumerate(words) if self.mapping else ():
+            changed = [mapped(run, self.mapping, self.longest) for run in _RUN.findall(word)]
+            if changed and all(changed):
+                it = iter(changed)
+                text = _RUN.sub(lambda m: next(it), word)  # noqa: B023
+                score, k = self._score(text)
+                gain = score / k - usual[i] + (0.0 if self.both_ways & set(word) else WELL_FORMED) if k else 0.0
+                if gain > MARGIN and gain * k > best_gain[i]:
+                    best_gain[i], best[i] = gain * k, text
+        better = [(words[i], best[i], float(best_gain[i])) for i in np.flatnonzero(best_gain > 0)]
+        self.judge([text for _, text, _ in better if _RUN.search(text)], depth + 1)
+        for word, text, gain in better:
+            again, more = self.changed.get(text, (text, 0.0))
+            self.changed[word] = again, gain + more
 
     def __call__(self, text: str) -> tuple[str, str | None]:
         """The restored text, and what was found: restored, partly (some
@@ -369,11 +415,42 @@ class Restorer:
         return out, ("partly" if out != text else "lost") if lost else "restored"
 
 
+def learn_transformations(segments: DataFrame, log_counts: np.ndarray, support: int = SUPPORT) -> tuple[list[tuple[str, str, int]], dict[str, str]]:
+    """Transformations that at least `support` pairs of twins agree with (at
+    most the grid's number), and the mapping learned from the other pairs.
+    """
+    shared = segments.sparkSession.sparkContext.broadcast(log_counts)  # CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Restorer([], {}, shared.value)
+        for b in batches:
+            count = np.zeros(len(GRID), np.int64)
+            units: dict[tuple[str, str], int] = {}
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                usual, other = judge.usual(x), judge.usual(y)
+                garbled, clean = (y, x) if other <= usual else (x, y)
+                if found := explain(garbled, clean):
+                    for i in found:
+                        count[i] += 1
+                elif abs(usual - other) > MARGIN / 2:
+                    for pair in (aligned(garbled, clean) or {}).items():
+                        units[pair] = units.get(pair, 0) + 1
+            hit = np.flatnonzero(count)
+            n = np.r_[count[hit], np.array(list(units.values()), np.int64)].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[hit, np.full(len(units), -1)].astype(np.int32)), pa.array([None] * len(hit) + [u for u, _ in units], pa.string()), pa.array([None] * len(hit) + [c for _, c in units], pa.string()), pa.array(n)], names=["t", "unit", "char", "n"])
+
+    counts = written(twins(segments).mapInArrow(run, "t int, unit string, char string, n bigint").groupBy("t", "unit", "char").agg(F.sum("n").alias("n")), "transformations")
+    grid = [GRID[r["t"]] for r in counts.where((F.col("t") >= 0) & (F.col("n") >= support)).orderBy(F.desc("n"), "t").collect()]
+    best = counts.where("t < 0").groupBy("unit").agg(F.max_by("char", F.struct("n", "char")).alias("char"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    kept = best.where((F.col("n") >= support) & (F.col("n") >= MAPPED_SHARE * F.col("total"))).orderBy(F.desc("n"), "unit").limit(MAPPED_MOST)
+    return grid, {r["unit"]: r["char"] for r in kept.collect()}
+
+
 def learn(df: DataFrame, fields: dict[str, Column], support: int = SUPPORT) -> Restorer:
     """Transformations and counts from all rows of the given fields."""
     segments = _segments(df, fields)
-    transformations = learn_transformations(segments, support)
-    return Restorer(transformations, np.log(learn_counts(segments) + 0.5).astype(np.float32))
+    log_counts = np.log(learn_counts(segments) + 0.5).astype(np.float32)
+    return Restorer(*learn_transformations(segments, log_counts, support), log_counts)
 
 
 def restored(df: DataFrame, row_id: str, fields: dict[str, Column], model: Restorer) -> DataFrame:
@@ -386,7 +463,7 @@ def restored(df: DataFrame, row_id: str, fields: dict[str, Column], model: Resto
     """
     key = df.schema[row_id].dataType.simpleString()
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.transformations, model.log_counts))  # CELLS numbers and a part of the grid
+    shared = spark.sparkContext.broadcast((model.transformations, model.mapping, model.log_counts))  # CELLS numbers, a part of the grid, MAPPED_MOST characters
     each = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("v")) for n, c in fields.items()])
     rows = df.select(F.col(row_id).alias("row_id"), F.explode(each).alias("f")).select("row_id", "f.name", "f.v").where(F.col("v").rlike(r"[^\x00-\x7F]"))
 

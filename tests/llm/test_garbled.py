@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirefold.llm.garbled import GRID, Restorer, explain, learn, restored, transform, well_formed
+from mirefold.llm.garbled import GRID, Restorer, aligned, explain, learn, mapped, restored, transform, well_formed
 
 NAMES = ["Zoénard Réton", "Hélvault Cléton", "Hülwald Rädmann", "Müllinde Götter", "Núñera Álvón", "Jiméana Ordóido", "Горова Малаков", "Росова Лесченко", "Белаков Зарюк"]
 CLEAN = [f"{n} wrote about café order {k} and the Übersicht number {k * 7}" for k, n in enumerate(NAMES * 40)]
@@ -71,3 +71,54 @@ def test_copies_of_a_garbled_message_do_not_make_it_usual(spark):
     df = spark.createDataFrame(list(enumerate([*clean, *bad, *[bulk] * 40])), "id long, v string")
     fields = {"v": F.col("v")}
     assert {r["row_id"] for r in restored(df, "id", fields, learn(df, fields)).collect()} == set(range(36, 80))
+
+
+def test_alignment_by_character():
+    assert aligned("caf@@ über", "caf@@ über") == {}
+    assert aligned("x ⌂⌘ y ⌂", "x éü y é") == {"⌂": "é", "⌘": "ü"}
+    assert aligned("x ⌂⌘⌂⌘", "x éé") == {"⌂⌘": "é"}
+    assert aligned("x ⌂⌂", "x éü") is None and aligned("⌂⌘⌂", "éé") is None and aligned("plain", "plain") is None
+    assert mapped("⌂⌘⌂", {"⌂": "é", "⌘": "ü"}, 1) == "éüé" and mapped("⌂⍟", {"⌂": "é"}, 1) is None
+    assert mapped("⌂⌘⌂", {"⌂⌘": "é", "⌂": "ü"}, 2) == "éü"
+
+
+PLANTED = str.maketrans("éèöüäßñóíáôçÉÖÜ", "⌂⌘⍟⎔⎈⏣⏏⏚⎋⌬⌭⌯⍾⎚⎍")
+
+
+def test_a_mapping_outside_any_encoding_is_learned(spark):
+    bad = [c.translate(PLANTED) for c in CLEAN[:18]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN + bad)], "id long, v string")
+    model = learn(df, {"v": F.col("v")})
+    assert model.mapping["⌂"] == "é" and not any(c in model.mapping for c in "éüö")
+    text = "Réponse: Zoénard Réton, über Müllinde"
+    assert model(text.translate(PLANTED)) == (text, "restored") and model(text) == (text, None)
+    nothing = learn(df.where(f"id < {len(CLEAN)}"), {"v": F.col("v")})  # without twins nothing is learned
+    assert not nothing.mapping and not nothing.transformations and nothing(text.translate(PLANTED))[1] is None
+
+
+def test_the_usual_writing_is_the_clean_one_even_where_a_garbled_one_has_more_copies(spark):
+    hot = damage(CLEAN[0], "cp1252", "utf-8")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN + [hot] * 500 + [damage(CLEAN[1], "cp1252", "utf-8")])], "id long, v string")
+    model = learn(df, {"v": F.col("v")})
+    assert ("cp1252", "utf-8", 1) in model.transformations and ("utf-8", "cp1252", 1) not in model.transformations
+    assert model(hot) == (CLEAN[0], "restored") and model(CLEAN[0])[1] is None
+
+
+def test_share_of_right_restorations(spark, small):
+    """Clean lines of the tables, damaged and restored: at least nine of ten come out as they were."""
+    q = pytest.importorskip("mirefold.llm.queries")
+    model = q._restorer(spark, small)
+    lines = [x for r in q._garbled_fields(spark, small)[0].select("text").where("text is not null").collect() for x in r["text"].split("\n") if not x.isascii()]
+    clean = [x for x in dict.fromkeys(lines) if model(x)[1] is None and len([c for c in x if ord(c) > 127]) > 2][:400]
+    learned = [(r, m) for r, m, n in model.transformations if n == 1][:4]
+    right = total = 0
+    for read, meant in learned:
+        for x in clean:
+            try:
+                bad = x.encode(meant).decode(read)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if bad != x:
+                total += 1
+                right += model(bad)[0] == x
+    assert total > 100 and right >= 0.9 * total, (right, total)
