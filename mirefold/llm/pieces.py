@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 #: Strength of the boundary after a segment: a cut inside a word is the weakest.
 INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _LINE = re.compile(rb"[^\n]*\n+|[^\n]+")
-_SENTENCE = re.compile(rb"(?:[^.!?]|[.!?](?!\s))*[.!?]+\s+|.+", re.DOTALL)
-_CLAUSE = re.compile(rb"[^,;:]*[,;:]+\s+|.+", re.DOTALL)
-_WORD = re.compile(rb"\s*\S+\s*|\s+")
+# What ends a sentence, a clause and a word; each is found in one forward scan.
+_SENTENCE, _CLAUSE, _WORD = re.compile(rb"[.!?]\s+"), re.compile(rb"[,;:]\s+"), re.compile(rb"(?<=\S)\s+")
 
 
 def _hard(text: bytes, room: int) -> list[bytes]:
@@ -49,7 +48,10 @@ def atoms(text: bytes, room: int) -> list[tuple[int, int]]:
             out.append((len(cuts[-1]), after))
         else:
             (rule, strength), rest = rules[0], rules[1:]
-            parts = rule.findall(part)
+            ends = [m.end() for m in rule.finditer(part)]
+            if not ends or ends[-1] < len(part):
+                ends.append(len(part))
+            parts = [part[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             for p in parts[:-1]:
                 put(p, strength, rest)
             put(parts[-1], after, rest)

@@ -82,7 +82,7 @@ def p10_pieces(spark: SparkSession, folder: str, with_text: bool = True) -> Data
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that had to be cut."""
-    return p10_pieces(spark, folder, with_text=False).where("piece_no = 1 and n_pieces > 1").select("doc_id")
+    return p10_pieces(spark, folder).where("piece_no = 1 and n_pieces > 1").select("doc_id")
 
 
 def _garbled_fields(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,3 +40,12 @@ def test_table(spark):
     assert split_texts(df.limit(0), "doc_id", "text", 300).count() == 0
     with pytest.raises(ValueError):
         pieces_of("x" * 100, 10, 10)
+
+
+def test_runs_of_marks_take_linear_time():
+    began = time.perf_counter()
+    for run in (".", "!?", ",;", " ", ". .", "\n"):
+        text = run * 300_000
+        cut = pieces_of(text, 4000, 100)
+        assert [c[1] for c in cut[1:]] == [c[2] for c in cut[:-1]] and cut[-1][2] == len(text)
+    assert time.perf_counter() - began < 60
