@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirefold.session import partitions
+
 #: Rows of a group that is packed on its own; a group's last container is all that can be left half empty.
 GROUP_ROWS = 20_000
 
@@ -137,5 +139,6 @@ def packed(df: DataFrame, row_id: str, text: str, capacity: int, group_rows: int
         group["container_id"] = (group["g"].to_numpy(np.int64) << 32) + assign(group["n_tokens"].to_numpy(np.int64), capacity)
         return group[["row_id", "part_no", "start_byte", "n_tokens", "container_id"]]
 
-    out = small.unionByName(large).groupBy("g").applyInPandas(fill, f"row_id {key}, part_no int, start_byte bigint, n_tokens int, container_id bigint")
+    tasks = min(groups, 8 * partitions(df.sparkSession))  # a stated number: small rows, much work, so AQE must not join the groups in one task
+    out = small.unionByName(large).repartition(tasks, "g").groupBy("g").applyInPandas(fill, f"row_id {key}, part_no int, start_byte bigint, n_tokens int, container_id bigint")
     return out.withColumnRenamed("row_id", row_id)
