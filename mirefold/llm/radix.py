@@ -18,8 +18,8 @@ from mirefold.session import partitions, written
 
 #: Canonical bytes that one bucket may hold.
 BUCKET_BYTES = 16 << 20
-#: Rows that a task counts together before it hands on its counts.
-LOCAL_ROWS = 500_000
+#: Rows and bytes that a task counts together before it hands on its counts.
+LOCAL_ROWS, LOCAL_BYTES = 500_000, 64 << 20
 #: Prefix lengths of successive splits; beyond the last each adds STEP bytes.
 STEP = 4
 
@@ -86,7 +86,7 @@ def _counted_locally(keyed: DataFrame) -> DataFrame:
 
         for b in batches:
             held.append(b)
-            if sum(map(len, held)) >= LOCAL_ROWS:
+            if sum(map(len, held)) >= LOCAL_ROWS or sum(x.nbytes for x in held) >= LOCAL_BYTES:
                 yield flush()
                 held.clear()
         if sum(map(len, held)):
@@ -100,7 +100,9 @@ def _oversized(counts: DataFrame, limit: int) -> list[tuple[int, list[bytes]]]:
 
     A level has at most total/limit of them, and the limit is at least an
     eighth of what a shuffle partition holds, so at most eight times as many
-    prefixes as shuffle partitions come to the driver in a level.
+    prefixes as shuffle partitions come to the driver in a level. A bucket of
+    one key that many tasks counted can't be split and isn't: it is merged
+    as it comes.
     """
     spark, size = counts.sparkSession, F.length("key").cast("long")
     total, longest = counts.agg(F.sum(size), F.max(F.length("key"))).first()
@@ -108,11 +110,11 @@ def _oversized(counts: DataFrame, limit: int) -> list[tuple[int, list[bytes]]]:
     levels: list[tuple[int, list[bytes]]] = [(0, [b""])] if (total or 0) > limit else []
     while levels and levels[-1][1] and levels[-1][0] < longest:
         depth, over = levels[-1]
-        within = counts.select("key", size.alias("size"))
+        within = counts.select("key", size.alias("size"), F.xxhash64("key").alias("digest"))
         if depth:
             heavy = spark.createDataFrame([(bytearray(p),) for p in over], "prefix binary")
             within = within.withColumn("prefix", F.substring("key", 1, depth)).join(F.broadcast(heavy), "prefix", "left_semi")
-        deeper = within.groupBy(F.substring("key", 1, depth + STEP).alias("p")).agg(F.sum("size").alias("size")).where(F.col("size") > limit)
+        deeper = within.groupBy(F.substring("key", 1, depth + STEP).alias("p")).agg(F.sum("size").alias("size"), F.min("digest").alias("one"), F.max("digest").alias("other")).where((F.col("size") > limit) & (F.col("one") != F.col("other")))
         levels.append((depth + STEP, [bytes(r["p"]) for r in deeper.select("p").toLocalIterator()]))
     return levels[1:] if levels else []
 
@@ -157,6 +159,11 @@ def collapse(keyed: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays(trie.rows(), names=["key", "first_id", "copies"])
 
+        def merge(bucket: bytes) -> None:
+            """Counts of one key that many tasks found become one row."""
+            merged = flush()
+            held.append(pa.RecordBatch.from_arrays([pa.array([bucket] * len(merged), pa.binary()), *merged.columns], names=["bucket", "key", "first_id", "copies"]))
+
         for b in batches:
             names = b.column(0)
             ends = np.flatnonzero(np.array(pa.compute.not_equal(names[1:], names[:-1]), dtype=bool)) + 1 if len(b) > 1 else np.zeros(0, int)
@@ -167,6 +174,8 @@ def collapse(keyed: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
                     yield flush()
                 now = names[int(i)].as_py()
                 held.append(b.slice(i, j - i))
+                if len(held) % 64 == 0 and sum(x.nbytes for x in held) > LOCAL_BYTES:
+                    merge(now)
         if held:
             yield flush()
 
