@@ -11,7 +11,8 @@ from datetime import UTC, datetime
 
 import numpy as np
 
-LAST_YEAR = 2150
+#: The calendar, weekdays included, repeats after so many years and seconds.
+CYCLE_YEARS, CYCLE = 400, 146_097 * 86_400
 
 
 @functools.cache
@@ -82,7 +83,8 @@ class ZoneTable:
             return round(datetime.fromtimestamp(t, UTC).astimezone(zone).utcoffset().total_seconds())
 
         start = max(when[-1] if when else 0, 0) + 1
-        end, step, now = int(datetime(LAST_YEAR, 1, 1, tzinfo=UTC).timestamp()), 14 * 86400, offset(start)
+        self.end = int(datetime(datetime.fromtimestamp(start, UTC).year + CYCLE_YEARS + 1, 1, 1, tzinfo=UTC).timestamp())
+        end, step, now = self.end + 7 * 86400, 14 * 86400, offset(start)
         for t in range(start + step, end, step):  # what the rule in the footer says beyond the written changes
             if (then := offset(t)) != now:
                 low, high = t - step, t
@@ -100,8 +102,11 @@ class ZoneTable:
         """UTC seconds of local seconds. A time that occurs twice is the first
         of the two, a skipped one has the offset valid before the change: both
         mean that a change counts from the later of its two local readings.
+        Beyond the table the last cycle of the calendar repeats.
         """
-        return local_seconds - self.offsets[np.searchsorted(self.local, local_seconds, side="right")]
+        cycles = np.maximum(0, -(-(local_seconds - self.end) // CYCLE)) * CYCLE
+        local_seconds = local_seconds - cycles
+        return cycles + local_seconds - self.offsets[np.searchsorted(self.local, local_seconds, side="right")]
 
 
 @functools.lru_cache(maxsize=1024)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,7 @@ GRAMMAR = [
         *(_WEEK + date + _GAP + _TIME + _ZONE for date in (_YMD, _DAY_MONTH, _MONTH_DAY, _TWO, _DOT)),
         rf"{_WEEK}(?P<B>B+) +(?P<d>dd?) +{_TIME}{_ZONE} +(?P<y>dddd)",
         rf"(?P<y>dddd)(?P<m>dd)(?P<d>dd)(?:t| +)(?P<H>dd)(?P<M>dd)(?:(?P<S>dd)(?:[.,](?P<f>d+))?)?{_ZONE}",
-        r"(?P<e>-?d{9,17})",
+        r"(?P<e>-?d{1,18})",
     )
 ]
 _RUN = re.compile(r"a+(?:/a+(?:[_-]a+)*)+|a+")
@@ -97,12 +97,21 @@ def _mask(points: np.ndarray) -> np.ndarray:
     return _classes()[np.minimum(points, 0x3000)]
 
 
-@functools.lru_cache(maxsize=100_000)
+#: Masks and shapes up to this length are remembered; longer ones are parsed each time.
+REMEMBERED = 200
+
+
+def _remembered(f: Callable) -> Callable:
+    known = functools.lru_cache(maxsize=100_000)(f)
+    return lambda text: known(text) if len(text) <= REMEMBERED else f(text)
+
+
+@_remembered
 def _runs(mask: str) -> tuple[tuple[int, int], ...]:
     return tuple(m.span() for m in _RUN.finditer(mask))
 
 
-@functools.lru_cache(maxsize=100_000)
+@_remembered
 def _parser(shape: str) -> dict[str, tuple[int, int]] | None:
     """The spans of the parts of a date of this shape; None where it is no date."""
     for rule in GRAMMAR:
@@ -230,8 +239,8 @@ def parse_dates(values: pa.Array, day_order: np.ndarray, tz_name: np.ndarray) ->
     utc, ok = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
     first = np.where(day_order == "dmy", 1, np.where(day_order == "mdy", 0, -1))
     for k, mask in enumerate(kinds.dictionary.to_pylist()):
-        if not mask or len(mask) > 120:
-            continue  # no written date is as long
+        if not mask:
+            continue
         rows = order[starts[k] : starts[k + 1]]
         chars = points[offsets[rows][:, None] + np.arange(len(mask))]
         spans, role, words = _runs(mask), np.zeros(len(rows), np.int64), {}
@@ -269,8 +278,8 @@ def instants(df: DataFrame, value: str, day_order: str, tz_name: str, out: str =
     `tz_name`, and `day_order` (dmy or mdy) decides an open order of day and
     month. Nulls, empty and unreadable values, dates without a time, unknown
     zone names, a missing zone where one is needed and a missing day order
-    where it is open give no row; repeated rows stay repeated. A value over
-    120 characters holds no date. `keep` names the columns to pass on (all
+    where it is open give no row; repeated rows stay repeated; values of any
+    length are read whole. `keep` names the columns to pass on (all
     others by default); `out` may not be one of them.
     """
     keep = [c for c in df.columns if c not in (value, day_order, tz_name)] if keep is None else keep

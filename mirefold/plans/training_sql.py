@@ -51,4 +51,4 @@ u as (select tbl, row_id, field_name, us, off, zone, make_timestamp(us) as local
 select tbl, row_id, field_name, case when off is not null then us - off * 60000000 when timezone(zone, before) = local or timezone(zone, after) <> local then epoch_us(before) else epoch_us(after) end as utc_us
 from u where off is not null or zone is not null
 union all
-select tbl, row_id, field_name, cast(v as bigint) * case when length(v) < 12 then 1000000 when length(v) < 15 then 1000 else 1 end from v where regexp_full_match(v, '[0-9]{{9,17}}')"""
+select tbl, row_id, field_name, cast(v as bigint) * case when length(ltrim(v, '-')) < 12 then 1000000 when length(ltrim(v, '-')) < 15 then 1000 else 1 end from v where regexp_full_match(v, '-?[0-9]{{1,18}}')"""

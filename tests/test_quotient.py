@@ -20,9 +20,35 @@ def test_equal_only_if_the_identifier_is():
     q, r = split(w)
     t = QuotientTable(1)
     t.insert([q, *r.T, np.array([5, 7, 9, 3])])
-    out = t.drain()
-    assert len(out[0]) == 3 and sorted(out[5].tolist()) == [3, 7, 9]
-    assert len(t.drain()[0]) == 0
+    assert t.lost.tolist() == [True, False, False, False]
+    t.insert([q[:1], *r[:1].T, np.array([1])])
+    assert t.lost.tolist() == [True, False, False, True, False]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 5)), max_size=60), max_size=5))
+def test_table_against_a_dictionary(batches):
+    t, best, rows = QuotientTable(2), {}, []
+    for batch in batches:
+        words = np.zeros((len(batch), 4), np.uint64)
+        words[:, 2] = [k for k, _ in batch]
+        q, r = split(words)
+        numbers = np.arange(len(rows), len(rows) + len(batch))
+        t.insert([q, *r.T, np.array([v for _, v in batch], np.int64), numbers])
+        rows += [(k, v, int(i)) for (k, v), i in zip(batch, numbers, strict=True)]
+    for k, v, i in rows:
+        best[k] = min(best.get(k, (v, i)), (v, i))
+    assert [not x for x in t.lost] == [best[k] == (v, i) for k, v, i in rows]
+
+
+def test_slots_that_collide():
+    n = 3000
+    r = np.zeros((n, 4), np.uint64)
+    r[:, 0] = np.arange(n)  # one home slot for all
+    t = QuotientTable(1)
+    t.insert([np.zeros(n, np.int64), *r.T, np.arange(n)])
+    t.insert([np.zeros(n, np.int64), *r.T, np.arange(n) - 1])
+    assert t.lost[:n].all() and not t.lost[n:].any()
 
 
 def test_redelivered(spark):

@@ -78,3 +78,11 @@ def test_table(spark):
     assert instants(df.limit(0), "v", "o", "z").count() == 0
     with pytest.raises(ValueError):
         instants(df.withColumnRenamed("note", "utc_us"), "v", "o", "z")
+
+
+def test_long_values_and_far_years():
+    far = datetime(9000, 7, 1, 12, tzinfo=ZoneInfo("Europe/Berlin"))
+    assert one("9000-07-01 12:00:00") == int(far.timestamp()) * 1_000_000
+    assert one("9000-01-01 12:00:00") == int(datetime(9000, 1, 1, 12, tzinfo=ZoneInfo("Europe/Berlin")).timestamp()) * 1_000_000
+    assert one("2024-01-05 10:00:00 +0000 (" + "x" * 5000 + ")") == us(2024, 1, 5, 10)
+    assert one("x" * 100_000) is None and one("86400") == 86_400_000_000 and one("0") == 0 and one("-5") == -5_000_000
