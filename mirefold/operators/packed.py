@@ -2,9 +2,11 @@
 
 Every field is parsed under candidate dialects (which delimiters it uses,
 whether quotes and angle brackets enclose values), and the dialect with the
-shortest description wins. A value costs the code length of its skeleton, the
-value with each run of ordinary characters written as w. The lengths come from
-counts over all fields that every dialect reads alike.
+shortest description wins. A value that recurs costs the code length of its
+share of all values; another one is spelled out: its characters, and the code
+length of its skeleton, the value with each run of ordinary characters written
+as w. Both lengths come from counts over all fields that every dialect reads
+alike.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import functools
 import itertools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DELIMITERS = " ,;|"
-#: Skeletons of more symbols are spelled out and not counted: at most 4**6 are in a field's code book.
-COUNTED = 6
+#: Skeletons of more symbols share so many entries of a code book by a hash; shorter ones have one each (4**6 at most).
+COUNTED, HASHED = 6, 4096
+#: A value is in the code book from so many uses and this share of all on, so a book has at most 1/share values.
+RECURS, RECURS_SHARE = 5, 1e-5
+CHARACTER_BITS = 5  # an ordinary character
 SPELLED_BITS = 8  # a symbol of a skeleton that isn't in the code book
 ENCLOSED_BITS = 3  # a symbol inside quotes or brackets, where delimiters are usual
 KIND_BITS = 2  # plain, quoted or in brackets
@@ -94,27 +100,34 @@ def parse(symbols: str, delimiters: str, quotes: bool, brackets: bool, adjacent:
     return values, used
 
 
+def _entry(symbols: str) -> str:
+    """The code book's entry of a skeleton."""
+    return symbols if len(symbols) <= COUNTED else f"#{zlib.crc32(symbols.encode()) % HASHED}"
+
+
 class CodeBook:
-    """Code lengths of value skeletons, from their counts over the corpus."""
+    """Code lengths of skeletons, and of values that recur, from their counts over the corpus."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], values: dict[int, int] | None = None) -> None:
         self.total = sum(counts.values())
         self.bits = {s: math.log2((self.total + 2) / n) for s, n in counts.items() if n}
         self.escape = math.log2(self.total + 2)
+        self.values = {v: math.log2((self.total + 2) / n) for v, n in (values or {}).items()}
 
     def plain(self, symbols: str) -> float:
-        return self.bits.get(symbols, self.escape + SPELLED_BITS * len(symbols))
+        return self.bits.get(_entry(symbols), self.escape + SPELLED_BITS * len(symbols))
 
     def enclosed(self, symbols: str) -> float:
-        return min(self.bits.get(symbols, math.inf), ENCLOSED_BITS * len(symbols))
+        return min(self.bits.get(_entry(symbols), math.inf), ENCLOSED_BITS * len(symbols))
 
 
-def cheapest(symbols: str, book: CodeBook) -> list[tuple[int, int, str]]:
-    """The values of a skeleton under the dialect of least description length;
-    ties go to fewer delimiters, then to fewer enclosures.
+def parses(symbols: str, book: CodeBook) -> list[tuple[float, list[tuple[int, int, float]]]]:
+    """The different parses of a skeleton, each with the bits of the cheapest
+    dialect that makes it (without its values) and per value (from, to, bits
+    of its kind and skeleton); fewer delimiters and enclosures come first.
     """
     present = [d for d in DELIMITERS if d in symbols]  # a delimiter that doesn't occur only lengthens the dialect
-    best, least = [(0, len(symbols), "plain")], math.inf
+    found: dict[tuple, tuple[float, list[tuple[int, int, float]]]] = {}
     for size in range(len(present) + 1):
         for chosen in itertools.combinations(present, size):
             for quotes, brackets, adjacent in ((False, False, False), (True, False, False), (False, True, False), (True, True, False), (False, True, True), (True, True, True)):
@@ -125,11 +138,32 @@ def cheapest(symbols: str, book: CodeBook) -> list[tuple[int, int, str]]:
                     continue
                 values, used = read
                 bits = size + quotes + brackets + adjacent + used * math.log2(size + adjacent + 1)
-                for start, end, kind in values:
-                    text = symbols[start:end].replace("@", "w")
-                    bits += KIND_BITS + (book.plain(text) if kind == "plain" else book.enclosed(text[1:-1]))
-                if bits < least - 1e-9:
-                    best, least = values, bits
+                if tuple(values) not in found or bits < found[tuple(values)][0] - 1e-9:
+                    each = []
+                    for start, end, kind in values:
+                        text = symbols[start:end].replace("@", "w")
+                        each.append((start, end, KIND_BITS + (book.plain(text) if kind == "plain" else book.enclosed(text[1:-1]))))
+                    found[tuple(values)] = bits, each
+    return list(found.values()) or [(0.0, [(0, len(symbols), 0.0)])]
+
+
+def cheapest(tokens: list[str], options: list[tuple[float, list[tuple[int, int, float]]]], book: CodeBook) -> list[str]:
+    """The values of a field under the parse of least description length."""
+    best: list[str] = []
+    least = math.inf
+    for bits, values in options:
+        texts = []
+        for start, end, skeleton_bits in values:
+            raw = "".join(tokens[start:end])
+            texts.append(raw)
+            spelled = skeleton_bits + CHARACTER_BITS * len(raw)
+            if book.values:
+                known = book.values.get(zlib.crc32(bare(raw).encode("utf-8", "surrogatepass")))
+                spelled = spelled if known is None else min(spelled, KIND_BITS + known)
+            bits += spelled
+        bits += CHARACTER_BITS * (sum(map(len, tokens)) - sum(map(len, texts)))  # what lies between the values is written, too
+        if bits < least - 1e-9:
+            best, least = texts, bits
     return best
 
 
@@ -147,41 +181,47 @@ def bare(value: str) -> str:
 
 
 class Splitter:
-    """Splits fields of one column; the dialect of a skeleton is chosen once."""
+    """Splits fields of one column; the parses of a skeleton are made once."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.book = CodeBook(counts)
-        self.choose = functools.lru_cache(maxsize=200_000)(lambda s: cheapest(s, self.book))
+    def __init__(self, counts: dict[str, int], values: dict[int, int] | None = None) -> None:
+        self.book = CodeBook(counts, values)
+        self.parses = functools.lru_cache(maxsize=200_000)(lambda s: parses(s, self.book))
 
     def __call__(self, text: str) -> list[str]:
         tokens = _tokens(text)
-        out = []
-        for start, end, _ in self.choose(skeleton(tokens)):
-            if value := bare("".join(tokens[start:end])):
-                out.append(value)
-        return out
+        options = self.parses(skeleton(tokens))
+        found = cheapest(tokens, options, self.book) if len(options) > 1 else ["".join(tokens[a:b]) for a, b, _ in options[0][1]]
+        return [value for raw in found if (value := bare(raw))]
 
 
-def code_counts(df: DataFrame, fields: dict[str, Column]) -> dict[str, dict[str, int]]:
-    """Counts of the skeletons of all fields that every dialect reads as one value.
+def code_counts(df: DataFrame, fields: dict[str, Column]) -> dict[str, tuple[dict[str, int], dict[int, int]]]:
+    """Per field the counts of skeletons and of recurring values (by CRC-32)
+    over all fields that every dialect reads as one value.
 
     One distributed count over all rows; each field contributes at most
-    4**COUNTED skeletons, which come to the driver.
+    4**COUNTED + HASHED skeletons and 1/RECURS_SHARE values, which come to the
+    driver.
     """
     exploded = None
     for name, column in fields.items():
         kind = df.select(column.alias("c")).schema["c"].dataType.typeName()
         each = df.select(F.lit(name).alias("f"), (F.explode(column) if kind == "array" else column).alias("v"))
         exploded = each if exploded is None else exploded.unionByName(each)
-    bones = exploded.select("f", F.regexp_replace(F.trim("v"), r'[^\s,;|"<>]+', "w").alias("s"))
-    bones = bones.where(F.col("s").isNotNull() & (F.col("s") != "") & (F.length("s") <= COUNTED) & ~F.col("s").rlike(PACKED))
-    out: dict[str, dict[str, int]] = {name: {} for name in fields}
-    for r in bones.groupBy("f", "s").count().toLocalIterator():
-        out[r["f"]][r["s"]] = r["count"]
+    single = exploded.select("f", F.trim("v").alias("v")).where(F.col("v").isNotNull() & (F.col("v") != "") & ~F.col("v").rlike(PACKED))
+    bones = F.regexp_replace("v", r'[^\s,;|"<>]+', "w")
+    entry = F.when(F.length(bones) <= COUNTED, bones).otherwise(F.concat(F.lit("#"), (F.crc32(F.encode(bones, "UTF-8")) % HASHED).cast("string")))
+    out: dict[str, tuple[dict[str, int], dict[int, int]]] = {name: ({}, {}) for name in fields}
+    for r in single.groupBy("f", entry.alias("s")).count().toLocalIterator():
+        out[r["f"]][0][r["s"]] = r["count"]
+    total = max((sum(c.values()) for c, _ in out.values()), default=0)
+    value = F.crc32(F.encode(F.regexp_replace("v", r'^"?<|>"?$|^"|"$', ""), "UTF-8"))
+    recurring = single.groupBy("f", value.alias("c")).count().where(F.col("count") >= max(RECURS, RECURS_SHARE * total))
+    for r in recurring.toLocalIterator():
+        out[r["f"]][1][r["c"]] = r["count"]
     return out
 
 
-def split_packed(df: DataFrame, row_id: str, fields: dict[str, Column], counts: dict[str, dict[str, int]] | None = None) -> DataFrame:
+def split_packed(df: DataFrame, row_id: str, fields: dict[str, Column], counts: dict[str, tuple[dict[str, int], dict[int, int]]] | None = None) -> DataFrame:
     """One row (row_id, field_name, pos, value) for each value of each field
     that packs more than one.
 
@@ -203,7 +243,7 @@ def split_packed(df: DataFrame, row_id: str, fields: dict[str, Column], counts:
     candidates = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*parts)).alias("p")).select("row_id", "p.name", "p.v").where("v is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = {name: Splitter(c) for name, c in counts.items()}
+        split = {name: Splitter(*c) for name, c in counts.items()}
         for b in batches:
             names, rows = b.column(1).to_pylist(), b.column(2).to_pylist()
             at, out_names, pos, values = [], [], [], []

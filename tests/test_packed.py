@@ -1,9 +1,11 @@
+import zlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mirefold.operators.packed import Splitter, split_packed
+from mirefold.operators.packed import CodeBook, Splitter, cheapest, code_counts, parses, split_packed
 
 IDS = Splitter({"w": 300, "<w>": 3000, '"<w>"': 250})
 TAGS = Splitter({"w": 70000, '"w"': 3000})
@@ -51,3 +53,21 @@ def test_table(spark):
     assert got == [(1, "s", 1, "a"), (1, "s", 2, "b"), (1, "t", 1, "x"), (1, "t", 2, "y"), (1, "t", 3, "z")]
     assert sum(r["row_id"] == 5 for r in out) == 3003
     assert split_packed(df.limit(0), "id", {"s": F.col("s")}).count() == 0
+
+
+def test_recurring_values_decide_where_shapes_do_not():
+    counts = {"w": 1000, '"w"': 10}
+    known = {zlib.crc32(v.encode()): 400 for v in ("red", "green")}
+    assert Splitter(counts, known)("red green") == ["red", "green"]
+    book = CodeBook(counts, known)
+    options = parses("w w", book)
+    assert len(options) == 2 and cheapest(["a", " ", "b"], options, book) == ["a", "b"]
+    whole = Splitter({"w": 1000}, {zlib.crc32(b"red green"): 900})
+    assert whole("red green") == ["red green"] and whole("red blue") == ["red", "blue"]
+
+
+def test_code_counts(spark):
+    rows = [(i, "red" if i % 2 else f"u{i}", "<" * 9 + "x") for i in range(40)] + [(99, "a;b", None)]
+    counts = code_counts(spark.createDataFrame(rows, "id long, s string, t string"), {"s": F.col("s"), "t": F.col("t")})
+    assert counts["s"] == ({"w": 40}, {zlib.crc32(b"red"): 20})
+    assert list(counts["t"][0].values()) == [40] and list(counts["t"][0])[0].startswith("#")
