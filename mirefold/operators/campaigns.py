@@ -42,10 +42,13 @@ def shared_indicators(messages: DataFrame, indicators: DataFrame, key: str, limi
     label, so a campaign of any size is spread by its labels.
     """
     labels = indicators.where("value is not null").select("msg_id", F.concat_ws(": ", "ioc_type", "value").alias("label")).distinct()
-    sizes = messages.groupBy(key).agg(F.count_distinct("msg_id").alias("size"))
-    counted = messages.select(key, "msg_id").distinct().join(labels, "msg_id").groupBy(key, "label").agg(F.count("*").alias("n")).join(sizes, key)
-    in_all = counted.groupBy(key).agg(F.max((F.col("n") == F.col("size")).cast("int")).alias("some"))
-    kept = counted.join(in_all, key).where(F.when(F.col("some") == 1, F.col("n") == F.col("size")).otherwise((F.col("size") > 1) & (F.col("n") >= 2)))
+    members = messages.select(key, "msg_id").distinct()
+    sizes = members.groupBy(key).agg(F.count("*").alias("size"))
+    counted = members.join(labels, "msg_id").groupBy(key, "label").agg(F.count("*").alias("n")).join(sizes, key)
+    # one pass over the counts: the first labels that all have and those that two have, each from its own bounded list
+    mark = counted.withColumn("all", (F.col("n") == F.col("size")).cast("int")).where("all = 1 or (size > 1 and n >= 2)")
+    best = mark.withColumn("first", F.max("all").over(W.partitionBy(key)))
+    kept = best.where("all = first")
     ranked = kept.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("label"))).where(F.col("k") <= limit)
     return ranked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("shared"))
 

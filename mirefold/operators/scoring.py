@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,78 @@ def verdicts(contributions: DataFrame, message: str, points: str = "capped_point
     return rows.select(message, "score", "level", confidence.alias("confidence"))
 
 
+# The weights that feedback of a segment concerns.
+SEGMENT_WEIGHTS: dict[str, tuple[str, ...]] = {
+    "bec": ("weight_bec_payment",),
+    "display_spoof": ("weight_display_spoof", "weight_lookalike", "weight_spf_lookalike"),
+    "shortener": ("weight_url_shortener",),
+    "messenger": ("weight_messenger_only", "weight_messenger_lure"),
+    "messenger_lure": ("weight_messenger_lure",),
+    "qr_lure": ("weight_qr_lure", "weight_qr_credential", "weight_qr_present"),
+    "html_smuggling": ("weight_html_smuggling",),
+    "html_polyglot": ("weight_html_polyglot",),
+    "cab": ("weight_cab_archive",),
+    "remote_template": ("weight_office_remote_template",),
+    "office_link": ("weight_office_hyperlink",),
+    "office_dde": ("weight_office_dde",),
+    "ole_package": ("weight_ole_package",),
+    "script_att": ("weight_script_attachment",),
+    "cloud_lure": ("weight_cloud_lure",),
+    "tnef": ("weight_tnef",),
+    "rar": ("weight_rar_archive",),
+    "iso_exe": ("weight_iso_exe", "weight_attachment_iso"),
+    "iso": ("weight_attachment_iso", "weight_iso_lnk", "weight_iso_exe"),
+    "archive_password": ("weight_archive_password", "weight_archive_password_match"),
+    "oob_delivery": ("weight_oob_delivery",),
+    "nested_mail": ("weight_archive_nested_email",),
+    "safelinks": ("weight_url_rewrite",),
+    "ru_rewrite": ("weight_url_rewrite",),
+    "rewrite": ("weight_url_rewrite",),
+    "wrap_lure": ("weight_wrap_lure", "weight_url_rewrite"),
+    "cid_phishing": ("weight_cid_phishing",),
+    "form_action": ("weight_form_action_suspicious",),
+    "arc_fail": ("weight_arc_fail",),
+    "reply_chain": ("weight_reply_chain_anomaly",),
+    "return_path": ("weight_return_path_mismatch",),
+    "campaign": ("weight_campaign_divergence",),
+    "pdf_openaction": ("weight_pdf_openaction_uri",),
+    "phishing_content": ("weight_credential_harvest", "weight_href_mismatch"),
+    "attachment": ("weight_attachment_flag",),
+    "sender_mismatch": ("weight_sender_mismatch",),
+    "orphan_reply": ("weight_orphan_reply",),
+    "mailer_brand": ("weight_mailer_brand",),
+    "dangerous_scheme": ("weight_dangerous_scheme",),
+    "url_userinfo": ("weight_url_userinfo",),
+    "pdf_launch": ("weight_pdf_launch",),
+    "lure_shortcut": ("weight_lure_shortcut",),
+    "rtf": ("weight_rtf_exploit",),
+    "office_encrypted": ("weight_office_encrypted",),
+    "office_external": ("weight_office_external_data",),
+    "bec_callback": ("weight_bec_callback",),
+    "payment_tokens": ("weight_payment_tokens",),
+    "clickfix": ("weight_clickfix",),
+    "image_only": ("weight_image_only_body", "weight_image_only_link"),
+    "fake_auth": ("weight_fake_auth_results",),
+    "office_xlm": ("weight_office_xlm",),
+    "office_vba": ("weight_office_vba_live",),
+    "macro_password": ("weight_macro_password", "weight_office_vba_live", "weight_office_xlm"),
+    "html_form_lure": ("weight_html_form_lure", "weight_form_action_suspicious"),
+    "org_domain": ("weight_lookalike", "weight_display_spoof"),
+    "resent_from": ("weight_resent_from_mismatch",),
+    "msgid_from": ("weight_header_low",),
+}
+
+
+def segment_weights(spark: SparkSession) -> DataFrame:
+    """(segment, weight_key), one row a pair."""
+    return spark.createDataFrame([(s, w) for s, weights in SEGMENT_WEIGHTS.items() for w in weights], "segment string, weight_key string")
+
+
+def calibration(df: DataFrame, segment: str, level: str) -> DataFrame:
+    """(segment, level, events): how many events of each segment have which level."""
+    return df.groupBy(F.coalesce(F.lower(F.trim(segment)), F.lit("")).alias("segment"), F.coalesce(F.lower(F.trim(level)), F.lit("")).alias("level")).agg(F.count("*").alias("events"))
+
+
 def weight_changes(feedback: DataFrame, weights: DataFrame, step: int = 2, most: int = 10) -> DataFrame:
     """(weight_key, delta): missed cases raise the weights of their segment, false alarms lower
     them; sums are held within ±most, zeros left out. weights(segment, weight_key).

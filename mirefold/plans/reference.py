@@ -35,35 +35,51 @@ def query(sql: str | None = None):
 
 # --- indicators in text ---------------------------------------------------------------------
 
-_FOUND = "select mail_id, '{kind}' as ioc_type, {value} as value, count(*) as n from (select mail_id, unnest(regexp_extract_all(text, '{pattern}', {group})) as raw from mail) where {where} group by all"
+_TEXTS = """t as (select 'mail ' || mail_id as id, text from mail union all select 'documents ' || doc_id, text from documents
+ union all select 'ioc ' || ioc_id, value from ioc union all select 'ioc_raw ' || raw_id, line from ioc_raw)"""
+_PATTERN = {name: (kind, pattern, alphabet) for name, kind, pattern, alphabet in indicators.PATTERNS}
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, text) of everything that may hold indicators: mails, documents, indicator values and serialised indicators."""
+    part = lambda name, row_id, text: table(spark, folder, name).select(F.concat_ws(" ", F.lit(name), F.col(row_id).cast("string")).alias("id"), F.col(text).alias("text"))
+    return part("mail", "mail_id", "text").unionByName(part("documents", "doc_id", "text")).unionByName(part("ioc", "ioc_id", "value")).unionByName(part("ioc_raw", "raw_id", "line"))
+
+
+def _found_sql(*kinds: str) -> str:
+    values = {"cve": "upper(raw)", "md5": "lower(raw)", "sha1": "lower(raw)", "sha256": "lower(raw)", "messenger": "case when regexp_matches(raw, '(?i)^https?://') then raw else 'https://' || raw end"}
+    where = {"filepath": "length(value) >= 6", "ipv6": "length(value) > 2", **dict.fromkeys(indicators.HASHES, "regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-f]')")}
+    parts = []
+    for k in kinds:
+        kind, pattern, alphabet = _PATTERN[k]
+        p = pattern.replace("'", "''")
+        found = f"regexp_extract_all(text, '{p}', 1)" if kind == "find" else f"list_filter(regexp_extract_all(text, '{alphabet}+'), lambda x: regexp_full_match(x, '{p}'))"
+        parts.append(f"select id, '{k}' as ioc_type, value, count(*) as n from (select id, {values.get(k, 'raw')} as value from (select id, unnest({found}) as raw from t)) where {where.get(k, 'true')} group by all")
+    return f"with {_TEXTS} " + " union all ".join(parts)
 
 
 def _types(*kinds: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = indicators.found_in(table(spark, folder, "mail").select("mail_id", "text"), "mail_id", "text", kinds)
-        return found.groupBy("mail_id", "ioc_type", "value").agg(F.count("*").alias("n"))
+        return indicators.found_in(_texts(spark, folder), "id", "text", kinds).groupBy("id", "ioc_type", "value").agg(F.count("*").alias("n"))
 
     return run
 
 
-QUERIES["ioc_url"] = _types("url")
-SQL["ioc_url"] = _FOUND.format(kind="url", value="regexp_replace(raw, '[.,;:!?]+$', '')", pattern=r"(?i)\b((?:https?|hxxps?|ftp|file)://(?:\[[A-Fa-f0-9:.]+\][^\s<>\"'')\]]*|[^\s<>\"'')\]]+))", group=1, where="true")
-QUERIES["ioc_email"] = _types("email")
-SQL["ioc_email"] = _FOUND.format(kind="email", value="raw", pattern=r"(?i)\b([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,})\b", group=1, where="true")
-QUERIES["ioc_ipv4"] = _types("ipv4")
-SQL["ioc_ipv4"] = _FOUND.format(kind="ipv4", value="raw", pattern=r"[\w.]+", group=0, where=f"regexp_full_match(raw, '{RAW_IPV4}')")
-QUERIES["ioc_hashes"] = _types("md5", "sha1", "sha256")
-SQL["ioc_hashes"] = """select mail_id, case length(raw) when 32 then 'md5' when 40 then 'sha1' else 'sha256' end as ioc_type, lower(raw) as value, count(*) as n
-from (select mail_id, unnest(regexp_extract_all(text, '[A-Fa-f0-9]+')) as raw from mail) where length(raw) in (32, 40, 64) and regexp_matches(raw, '[0-9]') and regexp_matches(raw, '[A-Fa-f]') group by all"""
-QUERIES["ioc_host_artifacts"] = _types("cve", "registry", "mutex", "filepath")
-SQL["ioc_host_artifacts"] = " union all ".join(
-    (
-        _FOUND.format(kind="cve", value="upper(raw)", pattern=r"(?i)\b(CVE-\d{4}-\d{4,7})\b", group=1, where="true"),
-        _FOUND.format(kind="registry", value="raw", pattern=r"(?i)\b((?:HKLM|HKCU|HKCR|HKU|HKCC|HKEY_LOCAL_MACHINE|HKEY_CURRENT_USER|HKEY_CLASSES_ROOT|HKEY_USERS|HKEY_CURRENT_CONFIG)\\[^\s<>\"''|]+)", group=1, where="true"),
-        _FOUND.format(kind="mutex", value="raw", pattern=r"(?i)\b((?:Global|Local)\\[A-Za-z0-9_\-\.]{3,128})", group=1, where="true"),
-        _FOUND.format(kind="filepath", value="raw", pattern=r"(?i)\b([A-Z]:\\(?:[^\s<>\"''|?*\n]+\\)*[^\s<>\"''|?*\n]+)", group=1, where="length(raw) >= 6"),
-    )
-)
+for _name, _kinds in {"ioc_url": ("url", "messenger"), "ioc_email": ("email",), "ioc_addresses": ("ipv4", "ipv6"), "ioc_hashes": indicators.HASHES, "ioc_host_artifacts": ("cve", "registry", "mutex", "filepath", "unc", "monero")}.items():
+    QUERIES[_name], SQL[_name] = _types(*_kinds), _found_sql(*_kinds)
+
+
+@query()
+def ioc_extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """All indicators of all texts, each once a text."""
+    return indicators.extracted(_texts(spark, folder), "id", "text").select("id", "ioc_type", "key", "value", F.array_join("tags", "|").alias("tags"), "context", "copies")
+
+
+@query()
+def ioc_wallets(spark: SparkSession, folder: str) -> DataFrame:
+    """Bitcoin addresses whose checksum holds, in the tables and in two samples."""
+    samples = spark.createDataFrame([("sample 0", "pay to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa or bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"), ("sample 1", "not to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb")], "id string, text string")
+    return indicators.wallets_in(_texts(spark, folder).unionByName(samples), "id", "text")
 
 
 @query("""select raw_id, ip, a in (10, 127, 0) or (a = 169 and b = 254) or (a = 192 and b = 168) or (a = 172 and b between 16 and 31) or (a = 100 and b between 64 and 127) as private
@@ -91,7 +107,7 @@ def ioc_counts_by_type(spark: SparkSession, folder: str) -> DataFrame:
 # --- strings, hosts and URLs ------------------------------------------------------------------
 
 
-@query("select ioc_id, replace(replace(regexp_replace(value, '(?i)\\bhtt(ps?://)', 'hxx\\1', 'g'), '.', '[.]'), '[[.]]', '[.]') as defanged from ioc where value is not null".replace("\\\\", "\\"))
+@query("select ioc_id, replace(replace(regexp_replace(value, '\\bhttp([sS]?://)', 'hxxp\\1', 'g'), '.', '[.]'), '[[.]]', '[.]') as defanged from ioc where value is not null".replace("\\\\", "\\"))
 def ioc_defanged(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ioc").where("value is not null").select("ioc_id", tx.defang(F.col("value")).alias("defanged"))
 
@@ -185,14 +201,16 @@ _PRIO = "(case when coalesce(list_contains({t}, 'from_url'), false) and not coal
 _P = _PRIO.format(t="tags")
 
 
-@query(f"""with r as (select msg_id, ioc_type, value, tags, ioc_id, lower(value) as key, {_P} as p from ioc where value is not null and ioc_type <> 'url'),
+@query(rf"""with {_DUCK_URL.replace("where value ilike '%://%'", "where ioc_type = 'url' and value is not null")},
+k as (select ioc_id, lower(case when scheme = '' then 'http' else scheme end) || '://' || regexp_replace(host, '^www\.', '') || case when regexp_matches(port, '^0*$') then '' else ':' || regexp_replace(port, '^0+', '') end
+  || case when path = '/' then path else regexp_replace(path, '/+$', '') end || case when query = '?' then '' else query end as url_key from u),
+r as (select msg_id, ioc_type, value, tags, ioc_id, coalesce(url_key, lower(value)) as key, {_P} as p from ioc left join k using (ioc_id) where value is not null and ioc_type is not null),
 t as (select msg_id, ioc_type, key, tag, min((-p, ioc_id)) as first from (select msg_id, ioc_type, key, p, ioc_id, unnest(tags) as tag from r) group by all),
-u as (select msg_id, ioc_type, key, count(*) as tags from t group by all)
-select r.msg_id, r.ioc_type, r.key, arg_min(r.value, (-r.p, r.ioc_id)) as value, count(*) as copies, coalesce(any_value(u.tags), 0) as tags from r left join u using (msg_id, ioc_type, key) group by all""")
+u2 as (select msg_id, ioc_type, key, count(*) as tags from t group by all)
+select r.msg_id, r.ioc_type, r.key, arg_min(r.value, (-r.p, r.ioc_id)) as value, count(*) as copies, coalesce(any_value(u2.tags), 0) as tags from r left join u2 using (msg_id, ioc_type, key) group by all""")
 def ioc_merged(spark: SparkSession, folder: str) -> DataFrame:
-    """Indicators of a message (URLs aside), merged by value."""
-    rows = table(spark, folder, "ioc").where("ioc_type <> 'url'")
-    out = indicators.merged(rows, "msg_id", "ioc_id")
+    """Indicators of a message, merged by value, URLs by their comparable form."""
+    out = indicators.merged(table(spark, folder, "ioc").where("ioc_type is not null"), "msg_id", "ioc_id")
     return out.select("msg_id", "ioc_type", "key", "value", F.col("copies").cast("long").alias("copies"), F.size(F.filter("tags", lambda x: x.isNotNull())).cast("long").alias("tags"))
 
 
@@ -243,21 +261,47 @@ def ioc_noise(spark: SparkSession, folder: str) -> DataFrame:
 # --- look-alikes ------------------------------------------------------------------------------
 
 
-@query("""with b as (select domain as brand, array_to_string(string_split(domain, '.')[-2:], '.') as reg, string_split(domain, '.')[-2] as label from brand),
-h as (select distinct lower(value) as host from lookalike_hit where regexp_full_match(value, '[A-Za-z0-9.-]+\\.[A-Za-z]+')),
-r as (select host, array_to_string(string_split(host, '.')[-2:], '.') as reg from h),
-f as (select host, r.reg, translate(r.reg, '0135$@|', 'oiessal') as norm, split_part(r.reg, '.', 1) as visible, brand, b.reg as breg, b.label, split_part(b.reg, '.', -1) as bzone from r, b where r.reg <> b.reg),
-g as (select *, split_part(norm, '.', 1) as nlabel, split_part(norm, '.', -1) as zone, zone <> bzone as foreign_ from f),
-d as (select *, levenshtein(case when foreign_ then nlabel else norm end, case when foreign_ then label else breg end) as d from g),
-k as (select host, brand, case when norm = breg or (foreign_ and nlabel = label and visible <> label) then 'homoglyph'
-  when length(label) >= 5 and contains(replace(norm, '-', ''), label) and contains(norm, label) and visible <> label then 'brand_spoof'
-  when d between 1 and 2 and abs(length(case when foreign_ then nlabel else norm end) - length(case when foreign_ then label else breg end)) <= 2 then 'levenshtein' end as kind, d from d)
-select host, brand, kind, cast(case when kind = 'levenshtein' then d else 0 end as integer) as distance from k where kind is not null""".replace("\\\\", "\\").replace("'0135$@|', 'oiessal'", "'0135$@|', 'oiessal'"))
+def _fold(c: str) -> str:
+    quoted = lambda x: x.replace("'", "''")
+    return f"translate(lower(translate({c}, '{quoted(lookalikes.STYLED_FROM)}', '{quoted(lookalikes.STYLED_TO)}')), '{lookalikes.FOLD_FROM}', '{lookalikes.FOLD_TO}')"
+
+
+_REG = "case when len(l) >= 3 and array_to_string(l[-2:], '.') in ('co.uk', 'com.br', 'com.au', 'com.tr') then array_to_string(l[-3:], '.') when len(l) >= 2 then array_to_string(l[-2:], '.') else lower(trim(host)) end"
+_VENDOR = ", ".join(f"'{v}'" for v in lookalikes.VENDOR_NAMES)
+
+
+@query(f"""with b as (select domain as brand, array_to_string(string_split(domain, '.')[-2:], '.') as breg, string_split(domain, '.')[-2] as label from brand),
+h as (select distinct host, list_filter(string_split(lower(trim(host)), '.'), lambda x: trim(x) <> '') as l from (select lower(regexp_replace(value, '^\\.+|\\.+$', '', 'g')) as host from lookalike_hit where value is not null) where contains(host, '.')),
+r as (select host, {_REG} as reg from h), n as (select host, reg, {_fold('reg')} as norm from r),
+f as (select host, reg, norm, split_part(reg, '.', 1) as seen, split_part(norm, '.', 1) as nlabel, case when contains(norm, '.') then substr(norm, instr(norm, '.') + 1) else '' end as zone, brand, breg, label, split_part(breg, '.', -1) as bzone from n, b where reg <> breg),
+d as (select *, zone <> '' and zone <> bzone as foreign_, case when zone <> '' and zone <> bzone then nlabel else norm end as l, case when zone <> '' and zone <> bzone then label else breg end as r from f),
+e as (select * replace (regexp_replace(l, '[^\\x00-\\x7F]', '?', 'g') as l) from d),
+k as (select host, brand, levenshtein(l, r) as d, case when norm = breg or (foreign_ and nlabel = label and seen <> label) then 'homoglyph'
+  when length(label) >= 5 and contains(replace(norm, '-', ''), label) and not contains(reg, breg) and contains(norm, label) and not ends_with(reg, breg) then
+    case when not (seen in ({_VENDOR}) or reg in ('yandex.net', 'office.net', 'github.io') or seen = label) then 'brand_spoof' end
+  when levenshtein(l, r) between 1 and 2 and abs(length(l) - length(r)) <= 2 then 'levenshtein' end as kind from e)
+select host, brand, kind, cast(case when kind = 'levenshtein' then d else 0 end as integer) as distance from k where kind is not null
+union all select host, '', 'idn', 0 from h where regexp_matches(host, '[^\\x00-\\x7F]|(?:^|\\.)xn--')""".replace("\\\\", "\\"))
 def lookalike_hosts(spark: SparkSession, folder: str) -> DataFrame:
-    """ASCII hosts that resemble one of the brands."""
+    """Hosts that resemble one of the brands as they are written."""
+    brands = [r["domain"] for r in table(spark, folder, "brand").orderBy("ord").collect()]  # a fixed table of 20 rows
+    return lookalikes.brand_hits(table(spark, folder, "lookalike_hit").select("value"), "value", brands, decode=False).fillna(0, ["distance"])
+
+
+@query()
+def lookalike_hosts_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts that resemble one of the brands by the letters that Punycode stands for."""
+    brands = [r["domain"] for r in table(spark, folder, "brand").orderBy("ord").collect()]  # a fixed table of 20 rows
+    return lookalikes.brand_hits(table(spark, folder, "lookalike_hit").select("value").unionByName(table(spark, folder, "ioc").select(F.col("host").alias("value"))), "value", brands).fillna(0, ["distance"])
+
+
+@query()
+def display_spoofs(spark: SparkSession, folder: str) -> DataFrame:
+    """Display names, of the table and of samples, that hold a brand's name, from another address."""
     brands = [r["domain"] for r in table(spark, folder, "brand").orderBy("ord").collect()]  # a fixed table of 20 rows
-    hosts = table(spark, folder, "lookalike_hit").where(F.col("value").rlike(r"^[A-Za-z0-9.-]+\.[A-Za-z]+$")).select("value")
-    return lookalikes.brand_hits(hosts, "value", brands).fillna(0, ["distance"])
+    samples = spark.createDataFrame([(-1, "Nordabanko Support <x@evil.example>"), (-2, "Nordabanko <x@nordabanko.example>"), (-3, '"Velmarapay Docs" <x@evil.example>')], "ident_id long, from_header string")
+    senders = table(spark, folder, "mail_identity").select("ident_id", "from_header").unionByName(samples)
+    return lookalikes.display_spoofs(senders, "ident_id", "from_header", lookalikes.names_of(brands))
 
 
 @query("select brand, kind, count(*) as n, count(distinct msg_id) as mails from lookalike_hit group by all")
@@ -315,13 +359,10 @@ def ioc_text_against_attachment(spark: SparkSession, folder: str) -> DataFrame:
     return campaigns.difference(rows.where("source = 'text'"), rows.where("source = 'attachment'"), ["ioc_type", "v"])
 
 
-@query("""select site, level, grouping(site) + 2 * grouping(level) as g, count(*) as n, round(avg(s), 6) as mean_score from (
- select split_part(replace(path, chr(92), '/'), '/', 2) as site, coalesce(verdict_level, 'none') as level, verdict_score as s from triage) group by cube (site, level)""")
-def inbox_calibration(spark: SparkSession, folder: str) -> DataFrame:
-    """Levels by inbox with totals, and mean scores."""
-    rows = table(spark, folder, "triage").select(F.get(F.split(F.translate("path", "\\", "/"), "/"), F.lit(1)).alias("site"), F.coalesce("verdict_level", F.lit("none")).alias("level"), "verdict_score")
-    counted = rows.cube("site", "level").agg((F.grouping("site").cast("long") + 2 * F.grouping("level").cast("long")).alias("g"), F.count("*").alias("n"), F.round(F.avg("verdict_score"), 6).alias("mean_score"))
-    return counted
+@query("select coalesce(lower(trim(segment)), '') as segment, coalesce(lower(trim(observed_level)), '') as level, count(*) as events from feedback group by 1, 2")
+def feedback_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """How many events of each segment got which level."""
+    return scoring.calibration(table(spark, folder, "feedback"), "segment", "observed_level")
 
 
 @query("select triage_id, path, coalesce(verdict_level, '') as verdict, coalesce(cast(verdict_score as varchar), '') as score, case when len(coalesce(top_iocs, [])) <= 8 then array_to_string(coalesce(top_iocs, []), '|') else array_to_string(top_iocs[1:8], '|') || '|+' || (len(top_iocs) - 8) end as top_iocs, case when len(coalesce(errors, [])) <= 5 then array_to_string(coalesce(errors, []), '|') else array_to_string(errors[1:5], '|') || '|+' || (len(errors) - 5) end as errors from triage")
@@ -363,16 +404,14 @@ def feedback_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "feedback").groupBy(F.coalesce("kind", F.lit("")).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("source_sha256").alias("files"))
 
 
-#: The weights that feedback of a segment concerns.
-SEGMENT_WEIGHTS = (("qr_lure", "weight_qr_lure"), ("qr_lure", "weight_qr_credential"), ("qr_lure", "weight_qr_present"), ("display_spoof", "weight_display_spoof"), ("display_spoof", "weight_lookalike"), ("display_spoof", "weight_spf_lookalike"), ("bec", "weight_bec_payment"), ("shortener", "weight_url_shortener"), ("cloud_lure", "weight_cloud_lure"), ("messenger", "weight_messenger_only"), ("messenger", "weight_messenger_lure"))
-_WEIGHTS = ", ".join(f"('{a}', '{b}')" for a, b in (*SEGMENT_WEIGHTS, ("invoice", "weight_bec_payment"), ("brand_spoof", "weight_lookalike")))
+_WEIGHTS = (("qr_lure", "weight_qr_lure"), ("qr_lure", "weight_qr_credential"), ("qr_lure", "weight_qr_present"), ("display_spoof", "weight_display_spoof"), ("display_spoof", "weight_lookalike"), ("display_spoof", "weight_spf_lookalike"), ("bec", "weight_bec_payment"), ("shortener", "weight_url_shortener"), ("cloud_lure", "weight_cloud_lure"), ("messenger", "weight_messenger_only"), ("messenger", "weight_messenger_lure"))
+_WEIGHTS = ", ".join(f"('{a}', '{b}')" for a, weights in scoring.SEGMENT_WEIGHTS.items() for b in weights)
 
 
 @query(f"""with w(segment, weight_key) as (values {_WEIGHTS}), d as (select weight_key, sum(case when lower(kind) = 'fn' then 2 else -2 end) as d from feedback f join w on lower(trim(f.segment)) = w.segment where lower(kind) in ('fp', 'fn') group by 1)
 select weight_key, cast(greatest(-10, least(10, d)) as integer) as delta from d where d <> 0""")
 def feedback_weights(spark: SparkSession, folder: str) -> DataFrame:
-    weights = spark.createDataFrame([*SEGMENT_WEIGHTS, ("invoice", "weight_bec_payment"), ("brand_spoof", "weight_lookalike")], "segment string, weight_key string")
-    return scoring.weight_changes(table(spark, folder, "feedback"), weights)
+    return scoring.weight_changes(table(spark, folder, "feedback"), scoring.segment_weights(spark))
 
 
 @query("""with c as (select count(*) filter (lower(kind) = 'fp') as fp, count(*) filter (lower(kind) = 'fn') as fn, count(*) filter (lower(kind) = 'confirm') as ok,
@@ -470,40 +509,82 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- signals and headers ----------------------------------------------------------------------
 
-_ASCII_SIGNALS = ("url_shortener", "messenger_link", "url_userinfo", "dangerous_scheme", "fake_auth_results", "iban", "html_form", "html_password_form", "script_link", "cid_image", "clickfix")
+#: Messages of our own with the wording and markup of each signal, beside the tables.
+SAMPLES = (
+    ("Please verify your account now, your password will expire. Enter your password here: https://bit.ly/x1", None),
+    ("Password policy: see the handbook. Account numbers did not change.", None),
+    ("Срочно оплатите счёт. Изменились реквизиты: новый счёт BY20OLMP31350000001000000933 для оплаты.", None),
+    ("We have changed our bank details. New bank account 4111 1111 1111 1111, wire transfer of funds today.", None),
+    ("Do not reply to this mail, call me back at once.", None),
+    ("Press Win + R and run powershell -enc aGVsbG8=", None),
+    ("The archive is password protected, password: 1234. Пароль от архива: 77", None),
+    ("The password is sent via Telegram. Скачайте файл в телеграм", "<p>Scan the QR code</p><img src='cid:1'>"),
+    ("Write to me in WhatsApp: telegram @some_name", "<form action=x><input type=password></form>"),
+    ("Download the document from Google Drive https://drive.google.com/file/d/1", "<a href='https://evil.example/x'>bank.example.com</a>"),
+    ("https://user.name@host.example/x and file://server/x\nAuthentication-Results: mx; spf=pass", "<div style='display: none'>hidden</div>"),
+    (None, "<img src='cid:logo'><a href='https://shop.example/a'>x</a>"), (None, "<img src='https://img.example/a.png'>"), ("https://t.me/some_chat", None), (None, None),
+)
+_SQL_SIGNALS = [*(k for k, _, _ in signal_rules.RULES), "payment_tokens", "messenger_only", "cid_phishing", "image_only_body"]
+
+
+def _sql_text(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
 
 
 def _signal_sql() -> str:
-    parts = []
-    for kind, where, pattern in signal_rules.PATTERNS:
-        if kind in _ASCII_SIGNALS:
-            p = pattern.replace("'", "''")
-            fields = {"text": ("text",), "html": ("html",), "both": ("text", "html")}[where]
-            parts.append(f"select mail_id, '{kind}' as kind from mail where " + " or ".join(f"regexp_matches(coalesce({f}, ''), '{p}')" for f in fields))
-    return " union all ".join(parts)
+    quoted = lambda p: p.replace("'", "''")
+    squeeze = lambda c: f"regexp_replace(lower({c}), '[ \\t\\x0B\\f\\r\\x{{A0}}]+', ' ', 'g')".replace("\\\\", "\\")
+    shown = "page"
+    for tag in ("script", "style", "head", "title"):
+        shown = f"regexp_replace({shown}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    shown = f"regexp_replace(regexp_replace({shown}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/?p|/?div|/?tr|/?li|/?h[1-3])(?:\\s[^>]*)?/?>', chr(10), 'g')"
+    shown = f"regexp_replace({shown}, '<[^>]*>', ' ', 'g')".replace("\\\\", "\\")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        shown = f"replace({shown}, '{entity}', '{char}')"
+    where = {"text": "seen", "raw": "raw", "html": "source"}
+    tests = {k: " and ".join(f"regexp_matches({where[w]}, '{quoted(p)}')" for p in patterns) for k, w, patterns in signal_rules.RULES}
+    chats = ", ".join(f"'{h}'" for h in (*signal_rules.MESSENGERS, *signal_rules.SHORTENERS))
+    tests["payment_tokens"] = f"({tests['payment_change']}) and (regexp_matches(plain, '{signal_rules.IBAN}') or regexp_matches(plain, '{signal_rules.CARD}'))"
+    tests["messenger_only"] = f"({tests['messenger_link']}) and len(list_filter(links, lambda x: x not in ({chats}))) = 0"
+    tests["cid_phishing"] = f"({tests['cid_image']}) and len(links) > 0 and letters <= 40"
+    tests["image_only_body"] = f"regexp_matches(source, '<img[\\s/]') and not ({tests['cid_phishing']}) and trim(txt, ' ') = '' and letters <= 40".replace("\\\\", "\\")
+    samples = ", ".join(f"('sample {i}', {_sql_text(t)}, {_sql_text(h)})" for i, (t, h) in enumerate(SAMPLES))
+    return f"""with m as (select 'mail ' || mail_id as id, text, html from mail union all select 'documents ' || doc_id, text, null from documents union all select * from (values {samples})),
+a as (select id, coalesce(text, '') as txt, coalesce(html, '') as page from m), b as (select *, case when page = '' then '' else {shown} end as shown from a),
+c as (select *, txt || chr(10) || shown as plain, {squeeze("txt || chr(10) || shown")} as seen, {squeeze("page")} as source, {squeeze("txt || chr(10) || page")} as raw, length(regexp_replace(shown, '[^\\p{{L}}]', '', 'g')) as letters from b),
+d as (select *, regexp_extract_all(raw, 'https?://(?:www\\.)?([^\\s/:?#"''<>)\\]]+)', 1) as links from c)
+""".replace("\\\\", "\\") + " union all ".join(f"select id, '{k}' as kind from d where {t}" for k, t in tests.items())
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    mail = table(spark, folder, "mail").select(F.concat_ws(" ", F.lit("mail"), F.col("mail_id").cast("string")).alias("id"), "text", "html")
+    documents = table(spark, folder, "documents").select(F.concat_ws(" ", F.lit("documents"), F.col("doc_id").cast("string")).alias("id"), "text", F.lit(None).cast("string").alias("html"))
+    samples = spark.createDataFrame([(f"sample {i}", t, h) for i, (t, h) in enumerate(SAMPLES)], "id string, text string, html string")
+    return mail.unionByName(documents).unionByName(samples)
 
 
 @query(_signal_sql())
 def content_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals whose patterns both engines read alike."""
-    return signal_rules.signals(table(spark, folder, "mail").select("mail_id", "text", "html"), "mail_id", "text", "html", list(_ASCII_SIGNALS))
+    """Signals of wording and markup."""
+    return signal_rules.signals(_messages(spark, folder), "id", "text", "html", _SQL_SIGNALS)
 
 
 @query()
 def content_signals_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All signals."""
-    return signal_rules.signals(table(spark, folder, "mail").select("mail_id", "text", "html"), "mail_id", "text", "html")
+    """All signals, links that lead elsewhere than they say among them."""
+    return signal_rules.signals(_messages(spark, folder), "id", "text", "html")
 
 
 @query(rf"""with d as (select *, coalesce(regexp_extract(lower(from_header), '@([^@>\s()]+)', 1), '') as s, coalesce(regexp_extract(lower(reply_to), '@([^@>\s()]+)', 1), '') as rt, coalesce(regexp_extract(lower(return_path), '@([^@>\s()]+)', 1), '') as rp,
-  coalesce(regexp_extract(lower(in_reply_to), '@([^@>\s()]+)', 1), '') as ir, coalesce(regexp_extract(lower(message_id), '@([^@>\s()]+)', 1), '') as mi,
+  coalesce(regexp_extract(lower(in_reply_to), '@([^@>\s()]+)', 1), '') as ir, coalesce(regexp_extract(lower(message_id), '@([^@>\s()]+)', 1), '') as mi, coalesce(regexp_extract(lower(references_hdr), '@([^@>\s()]+)', 1), '') as rf,
   regexp_matches(regexp_replace(trim(coalesce(subject, ''), ' '), '(?i)^(?:{tx.GATEWAY_TAG}){{0,6}}', ''), '(?i)^(?:re(?:\[\d+\])?|ответ|отв|на)\s*:') as re from mail_identity),
 f as (
  select ident_id, 'reply_to_mismatch' as finding, 'high' as severity from d where rt <> '' and s <> '' and not (s = rt or ends_with(s, '.' || rt) or ends_with(rt, '.' || s))
  union all select ident_id, 'return_path_mismatch', 'medium' from d where rp <> '' and s <> '' and not (s = rp or ends_with(s, '.' || rp) or ends_with(rp, '.' || s))
- union all select ident_id, 'reply_chain_anomaly', 'high' from d where ir <> '' and s <> '' and not (s = ir or ends_with(s, '.' || ir) or ends_with(ir, '.' || s))
+ union all select ident_id, 'reply_chain_anomaly', 'high' from d where s <> '' and ((ir <> '' and not (s = ir or ends_with(s, '.' || ir) or ends_with(ir, '.' || s))) or (rf <> '' and not (s = rf or ends_with(s, '.' || rf) or ends_with(rf, '.' || s))))
  union all select ident_id, 'message_id_domain', 'low' from d where mi <> '' and s <> '' and not (s = mi or ends_with(s, '.' || mi) or ends_with(mi, '.' || s))
  union all select ident_id, 'orphan_reply', 'high' from d where re and trim(coalesce(in_reply_to, ''), ' ') = '' and trim(coalesce(references_hdr, ''), ' ') = ''
+ union all select ident_id, 'no_auth_results', 'low' from d where trim(coalesce(spf, ''), ' ') = '' and trim(coalesce(dkim, ''), ' ') = '' and trim(coalesce(dmarc, ''), ' ') = ''
  union all select ident_id, 'no_received', 'medium' from d where coalesce(received_hops, 0) = 0
  union all select ident_id, 'one_received', 'medium' from d where received_hops = 1
  union all select ident_id, 'spf', case lower(trim(spf)) when 'fail' then 'high' when 'softfail' then 'medium' when 'permerror' then 'medium' when 'temperror' then 'medium' when 'none' then 'low' when 'pass' then 'info' end from d

@@ -30,17 +30,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests, a single machine) a folder of
-    this machine is set.
+    Only a session of one machine (master local) that names none gets a
+    folder of this machine; on a cluster the setting must be there.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="mirefold-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="mirefold-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:

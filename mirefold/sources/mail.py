@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 MOST_BYTES, MOST_TEXT, MOST_ENTRIES, BOMB = 40 << 20, 2_000_000, 200, 80 << 20
 SUFFIXES = ("eml", "msg", "mbox", "pst")
 # Suffixes that run when opened, and pairs that hide one.
-DANGEROUS = ("exe", "scr", "com", "pif", "bat", "cmd", "js", "jse", "vbs", "vbe", "wsf", "wsh", "hta", "ps1", "msi", "jar", "lnk", "iso", "img", "vhd", "vhdx", "cpl", "reg", "chm", "dll", "one", "xll")
-DOUBLE = re.compile(r"\.(?:pdf|docx?|xlsx?|pptx?|jpe?g|png|txt|rtf|zip)\.(?:exe|scr|com|pif|bat|cmd|js|jse|vbs|vbe|wsf|hta|ps1|msi|lnk)$", re.IGNORECASE)
+DANGEROUS = ("exe", "dll", "scr", "bat", "cmd", "ps1", "vbs", "vbe", "js", "jse", "wsf", "wsh", "hta", "cpl", "msi", "msp", "com", "pif", "jar", "iso", "img", "lnk", "reg", "scf", "chm", "one", "onepkg")
+SHOWN, HIDDEN = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "jpg", "png", "gif"), ("exe", "scr", "bat", "cmd", "js", "vbs", "ps1", "jar")
+DOUBLE = re.compile(rf"\.(?:{'|'.join(SHOWN)})\.(?:{'|'.join(HIDDEN)})$", re.IGNORECASE)
 # The first bytes of file types.
 MAGIC = ((b"%PDF", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\xd0\xcf\x11\xe0", "application/x-ole-storage"), (b"MZ", "application/x-dosexec"), (b"Rar!", "application/vnd.rar"), (b"7z\xbc\xaf'\x1c", "application/x-7z-compressed"), (b"\x89PNG", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"{\\rtf", "application/rtf"), (b"MSCF", "application/vnd.ms-cab-compressed"), (b"\x78\x9f\x3e\x22", "application/ms-tnef"), (b"L\0\0\0\x01\x14\x02\0", "application/x-ms-shortcut"))
 PDF_MARKS = ((rb"/(?:JS|JavaScript)\b", "pdf_js"), (rb"/Launch\b", "pdf_launch"), (rb"/SubmitForm\b", "pdf_submit"), (rb"/GoToR\b", "pdf_goto_remote"), (rb"/URI\b", "pdf_uri"), (rb"/OpenAction\b", "pdf_open_action"))

@@ -49,7 +49,7 @@ def test_found(spark):
     got = {(r["ioc_type"], r["value"]) for r in indicators.found_in(df, "id", "t").collect()}
     assert got == {
         ("url", "hxxps://evil.test/a"), ("messenger", "https://t.me/chan1"), ("ip_port", "10.0.0.1:8080"), ("ipv4", "10.0.0.1"), ("ipv4", "1.2.3.4"), ("sha256", "a1" * 32), ("cve", "CVE-2024-12345"),
-        ("registry", r"HKLM\Run"), ("filepath", r"C:\Users\x.exe"), ("mutex", r"Global\mtx1"), ("email", "a@b.test"), ("command_line", "powershell -nop -w hidden x"),
+        ("registry", r"HKLM\Run"), ("filepath", r"C:\Users\x.exe"), ("mutex", r"Global\mtx1"), ("email", "a@b.test"), ("command_line", "powershell -nop -w hidden x"), ("domain", "evil.test"), ("domain", "t.me"),
     }
 
 
@@ -77,7 +77,7 @@ def test_allowlist(spark):
 def test_lookalikes(spark):
     df = spark.createDataFrame([("velmarapay.example",), ("velmarapаy.example",), ("velmarapay-login.test",), ("velmarpay.example",), ("unrelated.test",), (None,)], "h string")
     got = {(r["host"], r["kind"]) for r in lookalikes.brand_hits(df, "h", ["velmarapay.example"]).collect()}
-    assert got == {("velmarapаy.example", "homoglyph"), ("velmarapay-login.test", "brand_spoof"), ("velmarpay.example", "levenshtein")}
+    assert got == {("velmarapаy.example", "homoglyph"), ("velmarapаy.example", "idn"), ("velmarapay-login.test", "brand_spoof"), ("velmarpay.example", "levenshtein")}
     mails = spark.createDataFrame([(1, '"Velmara Pay" <x@evil.test>'), (2, "Velmara Pay <x@velmarapay.example>"), (3, None)], "id long, f string")
     assert [(r["id"], r["brand"]) for r in lookalikes.display_spoofs(mails, "id", "f", [("velmara pay", ["velmarapay.example"])]).collect()] == [(1, "velmarapay.example")]
 
@@ -126,11 +126,100 @@ def test_signals(spark):
     got = {}
     for r in signals.signals(df, "id", "t", "h").collect():
         got.setdefault(r["id"], set()).add(r["kind"])
-    assert got == {1: {"urgency", "credential_harvest", "url_shortener", "html_form", "html_password_form", "cid_image"}, 4: {"urgency", "url_userinfo", "fake_auth_results"}}
+    assert got == {1: {"urgency", "credential_harvest", "url_shortener", "html_form", "html_password_form", "cid_image", "cid_phishing"}, 4: {"urgency", "url_userinfo", "fake_auth_results"}}
 
 
 def test_header_findings(spark):
     schema = "id long, from_header string, reply_to string, return_path string, subject string, message_id string, in_reply_to string, references_hdr string, spf string, dkim string, dmarc string, received_hops int"
     rows = [(1, "A <a@x.test>", "b@y.test", "<a@m.x.test>", "[EXT] Re: hi", "<1@x.test>", None, " ", "softfail", None, "fail", 0), (2, None, None, None, None, None, None, None, None, None, None, 3)]
     got = {(r["id"], r["finding"], r["severity"]) for r in signals.header_findings(spark.createDataFrame(rows, schema), "id").collect()}
-    assert got == {(1, "reply_to_mismatch", "high"), (1, "orphan_reply", "high"), (1, "no_received", "medium"), (1, "spf", "medium"), (1, "dmarc", "critical")}
+    assert got == {(1, "reply_to_mismatch", "high"), (1, "orphan_reply", "high"), (1, "no_received", "medium"), (1, "spf", "medium"), (1, "dmarc", "critical"), (2, "no_auth_results", "low")}
+
+
+def indicators_of(spark, text):
+    return {(r["ioc_type"], r["value"]): r for r in indicators.extracted(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()}
+
+
+def test_extracted_refangs_and_names_hosts(spark):
+    got = indicators_of(spark, "go to hxxps://WWW.Evil[.]test/a/ or https://evil.test/a now, write to Bob[at]mail.test")
+    assert set(got) == {("url", "https://WWW.Evil.test/a/"), ("domain", "evil.test"), ("email", "bob@mail.test"), ("domain", "mail.test")}
+    assert got["url", "https://WWW.Evil.test/a/"]["copies"] == 2 and "was_defanged" in got["url", "https://WWW.Evil.test/a/"]["tags"]
+    assert {"from_url"} <= set(got["domain", "evil.test"]["tags"]) and "from_email" in got["domain", "mail.test"]["tags"]
+    assert "write to" in got["email", "bob@mail.test"]["context"]
+
+
+def test_identifiers_are_no_addresses(spark):
+    text = "Message-ID: <a1@id.test>\nReferences: <b2@id.test>\nFrom: Boss <boss@real.test>\nseen <c3@other.test> here"
+    assert {v for k, v in indicators_of(spark, text) if k == "email"} == {"boss@real.test"}
+
+
+def test_hosts_in_text(spark):
+    text = "ivan.petrov sent report.pdf from mx1.mail.example and kаspi.kz via ka\u200bspi.kz, header.from passed, 1a2b3c4d5e.test too; xn--80ak6aa92e.com"
+    assert {v for k, v in indicators_of(spark, text) if k == "domain"} == {"mx1.mail.example", "kаspi.kz", "kaspi.kz", "xn--80ak6aa92e.com"}
+
+
+def test_hashes_and_addresses(spark):
+    long = "a1" * 32
+    got = indicators_of(spark, f"{long} {'a1' * 20} {'b2' * 20} {'c3' * 16} {'b2' * 16} fe80::1 2001:db8::5 12:30:45 10.1.2.3:8443 8.8.8.8:99999 8.8.8.8")
+    assert {v for k, v in got if k in ("sha256", "sha1", "md5")} == {long, "b2" * 20, "c3" * 16}  # a hash within a longer one is left out
+    assert {(k, v) for k, v in got if k in ("ipv6", "ip_port", "ipv4")} == {("ipv6", "fe80::1"), ("ipv6", "2001:db8::5"), ("ip_port", "10.1.2.3:8443"), ("ipv4", "10.1.2.3"), ("ipv4", "8.8.8.8")}
+    assert "private" in got["ipv6", "fe80::1"]["tags"] and "private" in got["ipv4", "10.1.2.3"]["tags"] and "private" not in got["ipv4", "8.8.8.8"]["tags"]
+
+
+def test_nothing_extracted(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "plain words only")], "id long, t string").selectExpr("*", "1 as value", "2 as tags")
+    assert indicators.extracted(df, "id", "t").count() == 0 and indicators.extracted(df.limit(0), "id", "t").count() == 0
+
+
+FOLDED = [("аррӏе.test", "app" + "ӏe.test"), ("ｍａｉｌ.test", "mail.test"), ("g00gle.com", "g00gle.com"), ("ҚАЗ.kz", "kaз.kz"), ("𝐚𝐛.com", "ab.com")]
+
+
+@pytest.mark.parametrize("text,want", FOLDED)
+def test_folding(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(lookalikes.folded(F.col("t"))).first()[0] == want
+
+
+def test_kinds_of_look_alikes(spark):
+    hosts = ["g00gle.com", "gооgle.com", "google.net", "xn--ggle-55da.com", "google-login.top", "googleapis.com", "googel.com", "mail.com", "google.com", "accounts.google.com", "näm.test"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {(r["host"], r["kind"], r["brand"]) for r in lookalikes.brand_hits(df, "h", ["google.com", "gmail.com"]).collect()}
+    assert got == {
+        ("g00gle.com", "levenshtein", "google.com"), ("gооgle.com", "idn", ""), ("gооgle.com", "homoglyph", "google.com"), ("xn--ggle-55da.com", "idn", ""), ("xn--ggle-55da.com", "homoglyph", "google.com"),
+        ("google-login.top", "brand_spoof", "google.com"), ("googel.com", "levenshtein", "google.com"), ("näm.test", "idn", ""),
+    }
+
+
+def test_spoofed_names(spark):
+    rows = [(1, "Velmara Pay <x@evil.test>"), (2, "Velmara Pay <x@mail.velmarapay.example>"), (3, "Velmara Pay music <x@evil.test>"), (4, "Arcovia Velmara Pay <x@evil.test>"), (5, "Velmara Payroll <x@evil.test>"), (6, None)]
+    names = [("velmara pay", ["velmarapay.example"]), ("arcovia", ["arcovia.example"])]
+    got = {(r["id"], r["label"]) for r in lookalikes.display_spoofs(spark.createDataFrame(rows, "id long, f string"), "id", "f", names).collect()}
+    assert got == {(1, "velmara pay"), (4, "arcovia")}
+
+
+SIGNS = [
+    ("Your password expires today", None, "urgency"), ("please enter your password", None, "credential_harvest"), ("Введите пароль от почты", None, "credential_harvest"), ("Изменились наши реквизиты", None, "payment_change"),
+    ("Do not reply, just call me", None, "bec_callback"), ("press win+r", None, "clickfix"), ("password: 1234", None, "archive_password"), ("contact me via telegram", None, "messenger_lure"), ("scan the QR code", None, "qr_lure"),
+    (None, "<b>enter</b> your <i>password</i>", "credential_harvest"), (None, "<a href='https://evil.test/x'>www.bank.test</a>", "href_mismatch"), (None, "<p style='display:none'>x</p>", "hidden_style"),
+    (None, "<form action='x'>", "html_form"), (None, "<img src='https://a.test/b.png'>", "image_only_body"), (None, "<img src='cid:1'><a href='http://a.test'>x</a>", "cid_phishing"), ("see t.me/room1", None, "messenger_only"),
+    ("x\nReceived-SPF: pass", None, "fake_auth_results"), ("go to https://a.b@c.test/", None, "url_userinfo"), ("new payment details: IBAN DE89370400440532013000", None, "payment_tokens"),
+]
+QUIET = ["The password policy was published.", "Our account number is unchanged.", "The QR printer is broken", "call us, reply to us", "<script>enter your password</script>", "<a href='https://www.bank.test/x'>bank.test</a>", "see t.me/room1 and https://a.test/", "font-size: 0.9em; opacity: 0.5"]
+
+
+@pytest.fixture(scope="module")
+def signs(spark):
+    rows = [(i, t, h) for i, (t, h, _) in enumerate(SIGNS)] + [(1000 + i, None if "<" in x else x, x if "<" in x else None) for i, x in enumerate(QUIET)]
+    out = {}
+    for r in signals.signals(spark.createDataFrame(rows, "id long, t string, h string"), "id", "t", "h").collect():
+        out.setdefault(r["id"], set()).add(r["kind"])
+    return out
+
+
+@pytest.mark.parametrize("i", range(len(SIGNS)))
+def test_each_signal(signs, i):
+    assert SIGNS[i][2] in signs.get(i, set())
+
+
+@pytest.mark.parametrize("i", range(len(QUIET)))
+def test_ordinary_text_has_none(signs, i):
+    assert signs.get(1000 + i, set()) <= {"messenger_link"}
