@@ -365,11 +365,10 @@ def feedback_calibration(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.calibration(table(spark, folder, "feedback"), "segment", "observed_level")
 
 
-@query("select triage_id, path, coalesce(verdict_level, '') as verdict, coalesce(cast(verdict_score as varchar), '') as score, case when len(coalesce(top_iocs, [])) <= 8 then array_to_string(coalesce(top_iocs, []), '|') else array_to_string(top_iocs[1:8], '|') || '|+' || (len(top_iocs) - 8) end as top_iocs, case when len(coalesce(errors, [])) <= 5 then array_to_string(coalesce(errors, []), '|') else array_to_string(errors[1:5], '|') || '|+' || (len(errors) - 5) end as errors from triage")
+@query("select path as file, kind, coalesce(verdict_level, '') as verdict, coalesce(cast(verdict_score as varchar), '') as score, ioc_count, coalesce(subject, '') as subject, coalesce(sender, '') as sender, coalesce(message_id, '') as message_id, case when len(coalesce(top_iocs, [])) <= 8 then array_to_string(coalesce(top_iocs, []), '|') else array_to_string(top_iocs[1:8], '|') || '|+' || (len(top_iocs) - 8) end as top_iocs, coalesce(top_reason, '') as top_reason, case when len(coalesce(errors, [])) <= 5 then array_to_string(coalesce(errors, []), '|') else array_to_string(errors[1:5], '|') || '|+' || (len(errors) - 5) end as errors from triage")
 def batch_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "triage")
-    none = F.array().cast("array<string>")
-    return rows.select("triage_id", "path", F.coalesce("verdict_level", F.lit("")).alias("verdict"), F.coalesce(F.col("verdict_score").cast("string"), F.lit("")).alias("score"), tx.join_visible(F.coalesce("top_iocs", none), 8).alias("top_iocs"), tx.join_visible(F.coalesce("errors", none), 5).alias("errors"))
+    """One row a message for a batch report."""
+    return exports.batch_rows(table(spark, folder, "triage"))
 
 
 # --- scores and feedback ----------------------------------------------------------------------
@@ -439,14 +438,11 @@ def feedback_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 # --- exports and files ------------------------------------------------------------------------
 
 
-@query("""select t.triage_id, coalesce(i.ioc_id, -1) as ioc_id, coalesce(i.ioc_type, '') as ioc_type, coalesce(i.value, '') as value, coalesce(array_to_string(i.tags, '|'), '') as tags, coalesce(t.verdict_level, '') as verdict, coalesce(t.verdict_score, -1) as score
+@query("""select t.msg_id, coalesce(i.ioc_type, '') as ioc_type, coalesce(i.value, '') as value, coalesce(i.source, '') as source, coalesce(i.context, '') as context, coalesce(i.rewritten_from, '') as rewritten_from, coalesce(array_to_string(i.tags, '|'), '') as tags, t.triage_id, t.verdict_level, t.verdict_score
 from triage t left join ioc i using (msg_id)""")
 def export_flat(spark: SparkSession, folder: str) -> DataFrame:
     """Indicators with their message's verdict; messages without any keep an empty row."""
-    messages = table(spark, folder, "triage").select("msg_id", "triage_id", F.coalesce("verdict_level", F.lit("")).alias("verdict"), F.coalesce("verdict_score", F.lit(-1)).alias("score"))
-    rows = table(spark, folder, "ioc").select("msg_id", "ioc_id", "ioc_type", "value", F.array_join("tags", "|").alias("tags"))
-    joined = messages.join(rows, "msg_id", "left")
-    return joined.select("triage_id", F.coalesce("ioc_id", F.lit(-1)).alias("ioc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("ioc_type", "value", "tags")], "verdict", "score")
+    return exports.flat(table(spark, folder, "triage").select("msg_id", "triage_id", "verdict_level", "verdict_score"), table(spark, folder, "ioc"))
 
 
 def _duck_cef(c: str) -> str:
@@ -474,37 +470,50 @@ def export_misp(spark: SparkSession, folder: str) -> DataFrame:
     return exports.misp_rows(table(spark, folder, "ioc"))
 
 
-@query()
+_ECS = "case when ioc_type {} then value end"
+
+
+@query(f"""select ioc_id, ioc_type as type, coalesce(context, '') as description, {_ECS.format("= 'url'")} as url, {_ECS.format("= 'domain'")} as dns, {_ECS.format("in ('ipv4', 'ipv6', 'ip_port')")} as ip, {_ECS.format("= 'email'")} as email,
+ {_ECS.format("in ('md5', 'sha1', 'sha256')")} as hash, {_ECS.format("not in ('url', 'domain', 'ipv4', 'ipv6', 'ip_port', 'md5', 'sha1', 'sha256', 'email')")} as name, array_to_string(coalesce(tags, []), '|') as tags,
+ case ioc_type when 'url' then 'Url' when 'domain' then 'Domain-Name' when 'ipv4' then 'IPv4-Addr' when 'ipv6' then 'IPv6-Addr' when 'md5' then 'StixFile' when 'sha1' then 'StixFile' when 'sha256' then 'StixFile' when 'email' then 'Email-Addr' else 'Text' end as entity_type
+from ioc where ioc_type is not null""")
 def export_ecs(spark: SparkSession, folder: str) -> DataFrame:
+    """Indicators as JSON of the Elastic schema, read again field by field."""
     rows = table(spark, folder, "ioc").where("ioc_type is not null")
-    return rows.select("ioc_id", exports.ecs_indicator(F.col("ioc_type"), F.col("value"), F.col("tags"), F.col("context")).alias("indicator"), exports.opencti_type(F.col("ioc_type")).alias("entity_type"))
+    written = rows.select("ioc_id", exports.ecs_indicator(F.col("ioc_type"), F.col("value"), F.col("tags"), F.col("context")).alias("j"), exports.opencti_type(F.col("ioc_type")).alias("entity_type"))
+    schema = "indicator struct<type:string,description:string,name:string>, tags array<string>, url struct<full:string>, dns struct<question:struct<name:string>>, ip string, hash map<string,string>, email struct<address:string>"
+    j = written.withColumn("j", F.from_json("j", schema))
+    return j.select("ioc_id", "j.indicator.type", "j.indicator.description", F.col("j.url.full").alias("url"), F.col("j.dns.question.name").alias("dns"), "j.ip", F.col("j.email.address").alias("email"), F.get(F.map_values("j.hash"), F.lit(0)).alias("hash"), F.col("j.indicator.name").alias("name"), F.array_join("j.tags", "|").alias("tags"), "entity_type")
 
 
-@query()
+@query("""with p as (select msg_id, cast(floor((coalesce(ord, 1) - 1) / 1000) as integer) as part_no, count(*) as iocs, sum(length(coalesce(value, ''))) as chars from ioc group by all)
+select t.msg_id, t.triage_id, coalesce(p.part_no, 0) as part_no, t.path, t.verdict_level as level, coalesce(p.iocs, 0) as iocs, cast(coalesce(p.chars, 0) as bigint) as chars from triage t left join p using (msg_id)""")
 def export_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON reports of messages with their indicators, read again."""
     messages = table(spark, folder, "triage").select("msg_id", "triage_id", "path", "verdict_level", "verdict_score", "subject", "sender")
-    return exports.report_json(messages, table(spark, folder, "ioc"))
+    reports = exports.report_json(messages, table(spark, folder, "ioc"))
+    j = reports.withColumn("j", F.from_json("report", "triage_id long, path string, verdict_level string, iocs array<struct<value:string>>"))
+    chars = F.aggregate("j.iocs", F.lit(0).cast("long"), lambda a, x: a + F.length(F.coalesce(x["value"], F.lit(""))))
+    return j.select("msg_id", "j.triage_id", "part_no", "j.path", F.col("j.verdict_level").alias("level"), F.size("j.iocs").cast("long").alias("iocs"), chars.alias("chars"))
 
 
-@query(r"""select t.path, sha256(coalesce(m.text, '')) as text_sha256, length(coalesce(m.text, '')) as chars, coalesce(trim(regexp_replace(i.message_id, '\s*[\r\n]+\s*', ' ', 'g')), '') as message_id
-from mail m join triage t on m.mail_id = t.triage_id join mail_identity i on m.mail_id = i.ident_id where t.path is not null""")
+@query(r"""select 'm' || m.mail_id as path, sha256(coalesce(m.text, '')) as text_sha256, length(coalesce(m.text, '')) as chars, coalesce(trim(regexp_replace(i.message_id, '\s*[\r\n]+\s*', ' ', 'g'), ' '), '') as message_id,
+ coalesce(regexp_replace(regexp_replace(m.subject, '\s*[\r\n]+\s*', ' ', 'g'), '^[ \t]+|[ \t]+$', '', 'g'), '') as subject from mail m join mail_identity i on m.mail_id = i.ident_id""")
 def files_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages written as files and parsed again."""
-    mail = table(spark, folder, "mail").select(F.col("mail_id").alias("id"), "text", "recipients", F.col("sender"), "subject")
+    """Messages written as files, their headers encoded as they are, and parsed again."""
+    mail = table(spark, folder, "mail").select(F.col("mail_id").alias("id"), "text", "recipients", "sender", "subject")
     head = table(spark, folder, "mail_identity").select(F.col("ident_id").alias("id"), "message_id", "in_reply_to", F.col("date_hdr").alias("date"))
-    path = table(spark, folder, "triage").select(F.col("triage_id").alias("id"), "path").where("path is not null")
-    ascii_sender = F.regexp_replace("sender", r"[^\x20-\x7E]", "?")
-    ascii_subject = F.regexp_replace("subject", r"[^\x20-\x7E]", "?")
-    rows = mail.join(head, "id").join(path, "id").withColumn("sender", ascii_sender).withColumn("subject", ascii_subject)
-    parsed = mail_source.parse_files(mail_source.composed(rows.withColumn("path", F.concat("path", F.lit(".eml"))).withColumn("path", F.concat_ws("#", F.col("id").cast("string"), "path"))))
-    return parsed.select(F.regexp_replace(F.regexp_replace("path", r"^\d+#", ""), r"\.eml$", "").alias("path"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"), F.coalesce(F.trim(mail_source.header("Message-ID")), F.lit("")).alias("message_id"))
+    rows = mail.join(head, "id").withColumn("path", F.concat(F.lit("m"), F.col("id").cast("string"), F.lit(".eml")))
+    parsed = mail_source.parse_files(mail_source.composed(rows))
+    return parsed.select(F.regexp_replace("path", r"\.eml$", "").alias("path"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"), F.coalesce(F.trim(mail_source.header("Message-ID")), F.lit("")).alias("message_id"), F.coalesce(mail_source.header("Subject"), F.lit("")).alias("subject"))
 
 
-@query("""select mail_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) >= 0 as ok, coalesce(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=', 0)), 0) as links from mail where html is not null and html <> ''""".replace("\\\\", "\\"))
+@query(r"""select mail_id, len(list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), lambda x: x <> '')) as links,
+ regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|head|title)[^>]*>.*?</(?:script|style|head|title)\s*>', '', 'g'), '<[^>]*>', '', 'g'), '[^A-Za-z0-9]', '', 'g') as letters from mail where html is not null and html <> ''""")
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
-    """How many links each HTML body has."""
-    rows = table(spark, folder, "mail").where("html is not null and html <> ''")
-    return rows.select("mail_id", F.lit(True).alias("ok"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href\s*="), F.lit(0))).cast("long").alias("links"))
+    """The links of each HTML body and the ASCII letters of what it shows."""
+    rows = mail_source.pages(table(spark, folder, "mail").where("html is not null and html <> ''"), "mail_id", "html")
+    return rows.select("mail_id", F.size("links").cast("long").alias("links"), F.regexp_replace("visible", "[^A-Za-z0-9]", "").alias("letters"))
 
 
 # --- signals and headers ----------------------------------------------------------------------

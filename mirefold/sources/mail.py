@@ -5,9 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import hashlib
-import io
 import re
-import zipfile
 from collections.abc import Iterator
 from email.header import decode_header, make_header
 from email.message import Message
@@ -18,23 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_BYTES, MOST_TEXT, MOST_ENTRIES, BOMB = 40 << 20, 2_000_000, 200, 80 << 20
+from mirefold.sources.attachments import inspect
+
+MOST_BYTES, MOST_TEXT = 40 << 20, 2_000_000
 SUFFIXES = ("eml", "msg", "mbox", "pst")
-# Suffixes that run when opened, and pairs that hide one.
-DANGEROUS = ("exe", "dll", "scr", "bat", "cmd", "ps1", "vbs", "vbe", "js", "jse", "wsf", "wsh", "hta", "cpl", "msi", "msp", "com", "pif", "jar", "iso", "img", "lnk", "reg", "scf", "chm", "one", "onepkg")
-SHOWN, HIDDEN = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "jpg", "png", "gif"), ("exe", "scr", "bat", "cmd", "js", "vbs", "ps1", "jar")
-DOUBLE = re.compile(rf"\.(?:{'|'.join(SHOWN)})\.(?:{'|'.join(HIDDEN)})$", re.IGNORECASE)
-# The first bytes of file types.
-MAGIC = ((b"%PDF", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\xd0\xcf\x11\xe0", "application/x-ole-storage"), (b"MZ", "application/x-dosexec"), (b"Rar!", "application/vnd.rar"), (b"7z\xbc\xaf'\x1c", "application/x-7z-compressed"), (b"\x89PNG", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"{\\rtf", "application/rtf"), (b"MSCF", "application/vnd.ms-cab-compressed"), (b"\x78\x9f\x3e\x22", "application/ms-tnef"), (b"L\0\0\0\x01\x14\x02\0", "application/x-ms-shortcut"))
-PDF_MARKS = ((rb"/(?:JS|JavaScript)\b", "pdf_js"), (rb"/Launch\b", "pdf_launch"), (rb"/SubmitForm\b", "pdf_submit"), (rb"/GoToR\b", "pdf_goto_remote"), (rb"/URI\b", "pdf_uri"), (rb"/OpenAction\b", "pdf_open_action"))
-RTF_MARKS = ((rb"\\objupdate", "rtf_objupdate"), (rb"(?i)equation\.", "rtf_equation"), (rb"\\objdata", "rtf_objdata"))
+#: Mails within mails that are read; deeper ones leave an error.
+MOST_DEPTH = 2
 
 HEADER = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 ATTACHMENT = T.ArrayType(
     T.StructType(
         [T.StructField("ord", T.IntegerType()), T.StructField("filename", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mime", T.StringType())]
         + [T.StructField(n, T.StringType()) for n in ("md5", "sha1", "sha256")]
-        + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("flags", "entries")]
+        + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("flags", "entries", "targets")]
+        + [T.StructField("text", T.StringType())]
     )
 )
 PARSED = T.StructType(
@@ -88,66 +83,79 @@ def html_text(html: str) -> tuple[str, list[tuple[str, str]]]:
     return re.sub(r"\s*\n\s*", "\n", text).strip(), page.links
 
 
+# Encodings of one byte a character for Cyrillic, and those that read any byte, so that a declared one proves little.
+CYRILLIC = ("cp1251", "koi8-r", "iso-8859-5", "cp866", "koi8-u", "mac-cyrillic")
+PERMISSIVE = ("latin-1", "iso-8859-1", "us-ascii", "cp1252", "windows-1252", "cp1251", "windows-1251", "koi8-r", "koi8-u", "mac-cyrillic")
+
+
+def _cyrillic_score(text: str) -> float:
+    """How much a text looks like Cyrillic prose: lower-case letters, capitals only at the start of words, few other signs."""
+    score, before = 0, " "
+    for c in text:
+        if "а" <= c <= "я" or c == "ё":
+            score += 2
+        elif "А" <= c <= "Я" or c == "Ё":
+            score += 1 if not before.isalpha() else -1 if before.isupper() else -3
+        elif c > "\x7f":
+            score -= 3
+        if c.isalpha() and before.isalpha() and c.isascii() != before.isascii():
+            score -= 4  # letters of two scripts in one word
+        before = c
+    return score / max(1, sum(c > "\x7f" for c in text))
+
+
 def decoded(raw: bytes, charset: str | None) -> str:
-    """A part's text: its own charset, else UTF-8, else the Western one that reads any byte."""
-    for name in (charset, "utf-8", "cp1252"):
+    """A part's text: UTF-8 where it is well-formed, else its own charset
+    unless that reads any byte; then the Cyrillic encodings compete with it.
+    """
+    name = {"windows-1251": "cp1251", "koi8": "koi8-r"}.get((charset or "").lower(), (charset or "").lower())
+    if name in ("", "utf-8", "utf8", *PERMISSIVE):
         try:
-            if name:
-                return raw.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return raw.decode("latin-1")
-
-
-def file_flags(name: str, data: bytes) -> tuple[str, list[str], list[str]]:
-    """MIME type by the first bytes, risk flags, and the names inside a ZIP (members are never unpacked)."""
-    low, flags, entries = name.lower(), [], []
-    mime = next((m for start, m in MAGIC if data.startswith(start)), "application/octet-stream")
-    suffix = low.rpartition(".")[2] if "." in low else ""
-    if DOUBLE.search(low):
-        flags.append("double_extension")
-    if suffix in DANGEROUS:
-        flags.append("dangerous_extension")
-    if mime == "application/zip":
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            pass
+    else:
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                members = z.infolist()
-            entries = [m.filename for m in members[:MOST_ENTRIES]]
-            low_names = [m.filename.lower() for m in members]
-            checks = (
-                ("encrypted_archive", any(m.flag_bits & 1 for m in members)), ("zip_bomb", sum(m.file_size for m in members) > BOMB), ("archive_double_extension", any(DOUBLE.search(n) for n in low_names)),
-                ("archive_dangerous_member", any(n.rpartition(".")[2] in DANGEROUS for n in low_names)), ("nested_email", any(n.endswith((".eml", ".msg")) for n in low_names)), ("nested_archive", any(n.endswith((".zip", ".rar", ".7z", ".cab", ".iso")) for n in low_names)),
-                ("macro", any(n.endswith("vbaproject.bin") for n in low_names)), ("xlm_macrosheet", any("/macrosheets/" in n for n in low_names)), ("office_embedded", any("/embeddings/" in n for n in low_names)),
-            )
-            flags += [f for f, hit in checks if hit]
-        except (zipfile.BadZipFile, OSError, ValueError, RuntimeError):
-            flags.append("broken_archive")
-    elif mime == "application/pdf":
-        flags += [f for p, f in PDF_MARKS if re.search(p, data)]
-    elif mime == "application/rtf":
-        flags += [f for p, f in RTF_MARKS if re.search(p, data)]
-    elif mime == "application/ms-tnef":
-        flags.append("tnef")
-    head = data[:8192].lstrip().lower()
-    if head.startswith((b"<!doctype html", b"<html")):
-        if b"pk\x03\x04" in head or b"%pdf" in head:
-            flags.append("html_polyglot")
-        if re.search(rb"(?i)msSaveBlob|createObjectURL|atob\s*\(", data):
-            flags.append("html_smuggling")
-        mime = "text/html"
-    return mime, flags, entries
-
-
-def _attachment(number: int, name: str, data: bytes) -> dict:
-    mime, flags, entries = file_flags(name, data)
-    return {"ord": number, "filename": name, "size": len(data), "mime": mime, "md5": hashlib.md5(data).hexdigest(), "sha1": hashlib.sha1(data).hexdigest(), "sha256": hashlib.sha256(data).hexdigest(), "flags": flags, "entries": entries}
+            return raw.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            pass
+    own = name if name in CYRILLIC else "cp1252"
+    best = raw.decode(own, "replace")
+    most = _cyrillic_score(best) + 0.1 if own in CYRILLIC else 1.2  # Western text must be beaten clearly
+    for codec in CYRILLIC:
+        text = raw.decode(codec, "replace")
+        if (score := _cyrillic_score(text)) > most:
+            best, most = text, score
+    return best
+
+
+def _attachments(out: dict, name: str, data: bytes, depth: int = 0) -> None:
+    """A row for a file, and for the files that it holds openly."""
+    f = inspect(name, data)
+    out["attachments"].append(
+        {
+            "ord": len(out["attachments"]), "filename": name, "size": len(data), "mime": f.mime, "md5": hashlib.md5(data).hexdigest(), "sha1": hashlib.sha1(data).hexdigest(), "sha256": hashlib.sha256(data).hexdigest(),
+            "flags": list(f.flags), "entries": list(f.entries), "targets": list(f.targets), "text": f.text,
+        }
+    )
+    for inner, body in f.inner if depth < MOST_DEPTH else ():
+        _attachments(out, inner, body, depth + 1)
 
 
 def _tidy(raw: bytes) -> bytes:
-    """Without byte-order marks and blank lines before the first header; UTF-16 as UTF-8."""
+    """Without byte-order marks, blank lines and the banner of a forwarding program before the first header; UTF-16 as UTF-8."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         raw = raw.decode("utf-16", "replace").encode("utf-8")
-    return raw.removeprefix(b"\xef\xbb\xbf").lstrip(b"\r\n")
+    raw = raw.removeprefix(b"\xef\xbb\xbf").lstrip(b"\r\n \t")
+    first, _, rest = raw.partition(b"\n")
+    banner = re.fullmatch(rb"-{2,}.*-{2,}|[^:]* [^:]*:", first.strip())
+    return rest.lstrip(b"\r\n") if banner and re.match(rb"\s*[A-Za-z-]+:", rest) else raw
+
+
+def message_shaped(text: Column) -> Column:
+    """Whether a pasted text has the header lines of a message: From, and Subject, Message-ID, Received or Date."""
+    has = lambda names: text.rlike(rf"(?im)^(?:{names})\s*:")
+    return F.coalesce(has("from") & has("subject|message-id|received|date"), F.lit(False))
 
 
 def header_text(value: str) -> str:
@@ -172,26 +180,30 @@ def parse_message(path: str, raw: bytes) -> dict:
     texts, pages = [], []
 
     def walk(part: Message, depth: int) -> None:
-        if part.is_multipart() and part.get_content_type() != "message/rfc822":
-            for inner in part.get_payload():
-                walk(inner, depth)
-            return
         kind, name = part.get_content_type(), part.get_filename() or ""
-        if kind == "message/rfc822" and depth < 2:
+        if kind == "message/rfc822":
             inner = part.get_payload()
             for m in inner if isinstance(inner, list) else [inner]:
-                if isinstance(m, Message):
-                    texts.append("\n".join(f"{h}: {m[h]}" for h in ("From", "To", "Subject") if m[h]))
-                    walk(m, depth + 1)
+                if not isinstance(m, Message):
+                    continue
+                if depth >= MOST_DEPTH:
+                    out["errors"].append(f"a mail nested deeper than {MOST_DEPTH} was not read")
+                    continue
+                texts.append("\n".join(f"{h}: {header_text(str(m[h]))}" for h in ("From", "To", "Subject") if m[h]))
+                walk(m, depth + 1)
+            return
+        if part.is_multipart():
+            for inner in part.get_payload():
+                walk(inner, depth)
             return
         data = part.get_payload(decode=True) or b""
         attached = part.get_content_disposition() == "attachment" or name
-        if not attached and kind == "text/plain":
+        if not attached and kind in ("text/plain", "message/delivery-status"):
             texts.append(decoded(data, part.get_content_charset()))
         elif not attached and kind == "text/html":
             pages.append(decoded(data, part.get_content_charset()))
         elif data or name:
-            out["attachments"].append(_attachment(len(out["attachments"]), name or f"part.{kind.rpartition('/')[2]}", data))
+            _attachments(out, name or f"part.{kind.rpartition('/')[2]}", data)
 
     try:
         walk(message, 0)
@@ -208,46 +220,87 @@ def parse_message(path: str, raw: bytes) -> dict:
     return out
 
 
-def split_mailbox(raw: bytes, most: int) -> list[bytes]:
-    """The messages of an mbox file."""
-    starts = [m.end() for m in re.finditer(rb"(?m)^From [^\r\n]*\r?\n", raw)]
-    ends = [m.start() for m in re.finditer(rb"(?m)^From [^\r\n]*\r?\n", raw)][1:] + [len(raw)]
-    return [re.sub(rb"(?m)^>(>*From )", rb"\1", raw[a:b]) for a, b in zip(starts, ends, strict=True)][:most]
+def split_mailbox(raw: bytes, most: int) -> tuple[list[bytes], int]:
+    """The messages of an mbox file up to `most`, and how many it has. A file without a "From " line is one message."""
+    marks = list(re.finditer(rb"(?m)^From [^\r\n]*\r?\n", raw))
+    if not marks:
+        return ([raw] if raw.strip() else []), int(bool(raw.strip()))
+    ends = [m.start() for m in marks[1:]] + [len(raw)]
+    parts = [raw[m.end() : b] for m, b in zip(marks[:most], ends, strict=False)]
+    return [re.sub(rb"(?m)^>(>*From )", rb"\1", p) for p in parts], len(marks)
+
+
+def _without_content(path: str | None, raw: bytes, error: str) -> dict:
+    return {"path": path, "kind": "unknown", "source_sha256": hashlib.sha256(raw).hexdigest() if raw else None, "headers": [], "text": "", "html": "", "attachments": [], "errors": [error]}
 
 
 def parse_files(files: DataFrame, mailbox_limit: int = 500) -> DataFrame:
-    """Messages of files(path, content): .eml, and each message of an .mbox up to the limit.
+    """Messages of files(path, content[, length]): .eml, and each message of an .mbox up to the limit.
 
-    Files over 40 MB, .msg and .pst (whose readers are optional libraries) and unknown suffixes
-    give one row of kind unknown with an error; null content counts as empty.
+    Files over 40 MB (by `length` where their content was left out), .msg and
+    .pst (whose readers are optional libraries), unknown suffixes and empty
+    files give one row of kind unknown with an error; so does what a mailbox
+    holds beyond the limit. A message that can't be read is a row with an
+    error, never a failed job.
     """
+    if "length" not in files.columns:
+        files = files.withColumn("length", F.octet_length("content").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(PARSED)
         for b in batches:
             rows = []
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for path, content, size in zip(*(b.column(c).to_pylist() for c in ("path", "content", "length")), strict=True):
                 raw, suffix = content or b"", (path or "").lower().rpartition(".")[2]
-                error = "too large" if len(raw) > MOST_BYTES else "" if suffix in ("eml", "mbox") else "no reader for this type" if suffix in SUFFIXES else "unknown type"
+                error = "too large" if (size or 0) > MOST_BYTES else "" if suffix in ("eml", "mbox") else "no reader for this type" if suffix in SUFFIXES else "unknown type"
+                if not error and not raw.strip():
+                    error = "empty"
                 if error:
-                    rows.append({"path": path, "kind": "unknown", "source_sha256": hashlib.sha256(raw).hexdigest(), "headers": [], "text": "", "html": "", "attachments": [], "errors": [error]})
+                    rows.append(_without_content(path, raw, error))
                 elif suffix == "mbox":
-                    parts = split_mailbox(raw, mailbox_limit)
+                    parts, total = split_mailbox(raw, mailbox_limit)
                     rows += [parse_message(f"{path}#{i}", part) for i, part in enumerate(parts)]
+                    if total > len(parts):
+                        rows.append(_without_content(path, b"", f"{total - len(parts)} of {total} messages are beyond the limit"))
                 else:
                     rows.append(parse_message(path, raw))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, PARSED)
+    return files.select("path", "content", "length").mapInArrow(run, PARSED)
+
+
+def parse_pasted(texts: DataFrame, path: str, text: str) -> DataFrame:
+    """Messages that were pasted as text; what has no header lines of a message gives a row with an error."""
+    shaped = message_shaped(F.col(text))
+    name = F.concat(F.col(path), F.lit(".eml")).alias("path")
+    good = parse_files(texts.where(shaped).select(name, F.encode(text, "UTF-8").alias("content")))
+    empty = {f.name: F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit("") for f in PARSED.fields}
+    bad = texts.where(~shaped).select(name, F.lit("unknown").alias("kind"), *[empty[n].alias(n) for n in ("source_sha256", "headers", "text", "html", "attachments")], F.array(F.lit("not a message")).alias("errors"))
+    return good.unionByName(bad)
 
 
 def read_folder(spark: SparkSession, folder: str, mailbox_limit: int = 500) -> DataFrame:
-    """All messages under a folder."""
+    """All messages under a folder; the content of files over 40 MB isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(folder)
-    return parse_files(files.where(F.col("length") <= MOST_BYTES).select("path", "content").unionByName(files.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("binary").alias("content"))), mailbox_limit)
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "content", "length")
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    return parse_files(small.unionByName(large), mailbox_limit)
+
+
+def pages(df: DataFrame, row_id: str, html: str) -> DataFrame:
+    """(row_id, visible, links): what each page shows, and the targets and labels of its links. Null pages give no row."""
+    key = df.schema[row_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("target", pa.string()), ("label", pa.string())]))
+        for b in batches:
+            read = [html_text(h) for h in b.column(1).to_pylist()]
+            links = [[{"target": t, "label": x} for t, x in found] for _, found in read]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in read], pa.string()), pa.array(links, kind)], names=[row_id, "visible", "links"])
+
+    return df.where(F.col(html).isNotNull()).select(row_id, html).mapInArrow(run, f"`{row_id}` {key}, visible string, links array<struct<target:string,label:string>>")
 
 
 def header(name: str) -> Column:
