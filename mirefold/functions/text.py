@@ -139,7 +139,7 @@ def related(left: Column, right: Column) -> Column:
 
 
 def is_private_ipv4(c: Column) -> Column:
-    a, b = (F.split(c, r"\.")[i].cast("int") for i in (0, 1))
+    a, b = (F.get(F.split(c, r"\."), F.lit(i)).try_cast("int") for i in (0, 1))
     return a.isin(10, 127, 0) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31)) | ((a == 100) & b.between(64, 127)) | (c == "255.255.255.255")
 
 

@@ -190,7 +190,7 @@ def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | Non
     )
     rows = rows.withColumn("value", value).where((kind != "command_line") | ((F.length("value") >= 12) & F.col("value").rlike(COMMAND_SIGNAL)))
     rows = rows.where(~kind.isin(*HASHES) | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-f]")))
-    rows = rows.where((kind != "ip_port") | F.substring_index("value", ":", -1).cast("int").between(1, 65535)).where((kind != "filepath") | (F.length("value") >= 6)).where((kind != "ipv6") | (F.length("value") > 2))
+    rows = rows.where((kind != "ip_port") | F.substring_index("value", ":", -1).try_cast("int").between(1, 65535)).where((kind != "filepath") | (F.length("value") >= 6)).where((kind != "ipv6") | (F.length("value") > 2))
     chats = [F.when((kind == "messenger") & F.lower("value").contains(link), tag) for link, tag in CHAT_LINKS]
     tags = F.array_distinct(F.array_compact(F.array(
         F.when(kind.isin("ipv4", "ip_port") & tx.is_private_ipv4(F.substring_index("value", ":", 1)), "private"),

@@ -623,9 +623,22 @@ def stream_levels(spark: SparkSession, folder: str) -> DataFrame:
     rows = _stream(spark, folder, "triage")
     place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     counted = triage.level_counts(rows.where("ingested_at is not null"), "ingested_at")
-    query_ = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).trigger(availableNow=True).start()
+    query_ = counted.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/out/batch={n}")).trigger(availableNow=True).start()
     query_.awaitTermination()
-    return spark.read.parquet(f"{place}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "level", "messages")
+    seen = spark.read.schema("start timestamp, level string, messages long").parquet(f"{place}/out")
+    return seen.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "level").agg(F.max("messages").alias("messages"))
+
+
+@query()
+def stream_diverging(spark: SparkSession, folder: str) -> DataFrame:
+    """Campaigns that several sender domains write within a week, by a stream over the triage rows that are there."""
+    rows = _stream(spark, folder, "triage").where("ingested_at is not null").withColumn("domain", tx.sender_domain(F.col("sender")))
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    found = triage.diverging(rows.where("domain <> ''"), "ingested_at", "campaign_key", "domain", late="60 days")
+    query_ = found.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/out/batch={n}")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    seen = spark.read.schema("start timestamp, key string, domains long").parquet(f"{place}/out")
+    return seen.groupBy(F.date_format("start", "yyyy-MM-dd").alias("week"), "key").agg(F.max("domains").alias("domains"))
 
 
 @query("select lower(message_id) as id, count(*) as n from (select distinct lower(trim(message_id)) as message_id from triage where ingested_at is not null and trim(message_id) <> '') group by 1")
@@ -633,7 +646,7 @@ def stream_once(spark: SparkSession, folder: str) -> DataFrame:
     """Each identifier once, by a stream over the triage rows that are there."""
     rows = _stream(spark, folder, "triage")
     place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    first = triage.once(rows.where("ingested_at is not null").withColumn("id", F.lower(F.trim("message_id"))).where("id <> ''"), "id", "ingested_at", "10000 days")
+    first = triage.once(rows.where("ingested_at is not null").withColumn("id", F.lower(F.trim("message_id"))).where("id <> ''"), "id", "ingested_at", "60 days")
     query_ = first.select("id").writeStream.outputMode("append").option("checkpointLocation", f"{place}/state").format("parquet").option("path", f"{place}/out").trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.schema("id string").parquet(f"{place}/out").groupBy("id").agg(F.count("*").alias("n"))

@@ -114,6 +114,63 @@ def report_json(messages: DataFrame, indicators: DataFrame, on: str = "msg_id",
     return messages.join(items, on, "left").select(on, number, F.to_json(F.struct(*others, number, F.coalesce("iocs", F.array().cast(items.schema["iocs"].dataType)).alias("iocs"))).alias("report"))
 
 
+def stix_objects(indicators: DataFrame, level: Column | None = None) -> DataFrame:
+    """(ioc_id, object): STIX 2.1 indicator objects as JSON; types without a pattern are left out."""
+    none = F.array().cast("array<string>")
+    labels = F.concat(F.array(level if level is not None else F.lit("unknown")), F.slice(F.coalesce("tags", none), 1, 8))
+    fields = F.struct(
+        F.lit("indicator").alias("type"), F.concat(F.lit("indicator--"), F.col("ioc_id").cast("string")).alias("id"), F.lit("2.1").alias("spec_version"), F.concat_ws(":", "ioc_type", F.substring("value", 1, 80)).alias("name"),
+        stix_pattern(F.col("ioc_type"), F.col("value")).alias("pattern"), F.lit("stix").alias("pattern_type"), F.lit("1970-01-01T00:00:00.000Z").alias("valid_from"), labels.alias("labels"), F.coalesce("context", F.lit("")).alias("description"),
+    )
+    return indicators.where(F.col("ioc_type").isin(*STIX_PATHS) & F.col("value").isNotNull()).select("ioc_id", F.to_json(fields).alias("object"))
+
+
+def opencti_objects(indicators: DataFrame) -> DataFrame:
+    """(ioc_id, object): OpenCTI observables as JSON."""
+    kind, value = F.col("ioc_type"), F.col("value")
+    hashes = F.when(kind.isin("md5", "sha1", "sha256"), F.create_map(F.upper(kind), value))
+    fields = F.struct(kind.alias("type"), value.alias("value"), F.coalesce("context", F.lit("")).alias("x_opencti_description"), F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 8).alias("labels"), opencti_type(kind).alias("entity_type"), hashes.alias("hashes"))
+    return indicators.where("ioc_type is not null").select("ioc_id", F.to_json(fields).alias("object"))
+
+
+#: Lines of a ticket: what stands before a value, and the value's name; a line without a value is left out.
+TICKET = (("Verdict: ", "verdict"), ("Score: ", "score"), ("Campaign: ", "campaign"), ("Reason: ", "reason"), ("File: ", "file"), ("From: ", "from"), ("Subject: ", "subject"), ("Message-ID: ", "message_id"), ("Indicators:\n  ", "iocs"), ("Errors:\n  ", "errors"))
+
+
+def ticket_values(triage: DataFrame, most: int = 40) -> DataFrame:
+    """triage with `values`: a map of what a ticket may say of a message; indicators are defanged, at most `most` are listed."""
+    from mirefold.functions.text import defang
+
+    none = F.array().cast("array<string>")
+    iocs = F.coalesce("top_iocs", none)
+    listed = F.array_join(F.transform(F.slice(iocs, 1, most), defang), "\n  ")
+    more = F.when(F.size(iocs) > most, F.concat(F.lit("\n  and "), (F.size(iocs) - most).cast("string"), F.lit(" more"))).otherwise("")
+    text = {
+        "verdict": F.col("verdict_level"), "score": F.col("verdict_score").cast("string"), "campaign": F.col("campaign_key"), "reason": F.col("top_reason"), "file": F.substring_index(F.translate("path", "\\", "/"), "/", -1),
+        "from": F.col("sender"), "subject": F.col("subject"), "message_id": F.col("message_id"), "iocs": F.concat(listed, more), "errors": F.array_join(F.slice(F.coalesce("errors", none), 1, 5), "\n  "),
+    }
+    return triage.withColumn("values", F.create_map(*[x for k, v in text.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))]))
+
+
+def tickets(template: str | None = None) -> Column:
+    """The text of a ticket from `values`: a template in which {name} stands for a value, or the built-in lines."""
+    if template is None:
+        lines = [F.when(F.col("values")[name] != "", F.concat(F.lit(label), F.col("values")[name])) for label, name in TICKET]
+        return F.concat_ws("\n", *lines)
+    out = F.lit(template)
+    for _, name in TICKET:
+        out = F.replace(out, F.lit("{" + name + "}"), F.col("values")[name])
+    return out
+
+
+def campaign_pack(triage: DataFrame, key: str, order: str) -> DataFrame:
+    """(place, line): JSON lines of a batch: first what it is, then a line a message in order. Only the counts pass through one task."""
+    mails = triage.select(F.col(order).cast("long").alias("place"), F.to_json(F.struct(F.lit("mail").alias("type"), F.coalesce(F.col(key), F.lit("")).alias("campaign_key"), *[F.col(c) for c in ("path", "verdict_level", "verdict_score", "subject", "sender", "ioc_count")])).alias("line"))
+    counts = triage.agg(F.count("*").alias("mail_count"), F.count_distinct(F.nullif(F.col(key), F.lit(""))).alias("campaign_count"))
+    meta = counts.select(F.lit(-1).cast("long").alias("place"), F.to_json(F.struct(F.lit("campaign_pack_meta").alias("type"), "mail_count", "campaign_count")).alias("line"))
+    return meta.unionByName(mails)
+
+
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
     """One text line a row (CEF, NDJSON)."""
     lines.select(F.col(column).alias("value")).write.mode("errorifexists").text(path)

@@ -11,8 +11,11 @@ def once(stream: DataFrame, identifier: str, event_time: str, late: str = "21 da
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([identifier])
 
 
-def level_counts(stream: DataFrame, event_time: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """(start, level, messages): verdict levels by window of event time."""
+def level_counts(stream: DataFrame, event_time: str, late: str = "60 days", width: str = "1 day") -> DataFrame:
+    """(start, level, messages): verdict levels by window of event time. In
+    update mode a window's rows come again as they grow (the greatest count
+    holds), and state that is `late` behind is dropped.
+    """
     counted = stream.withWatermark(event_time, late).groupBy(F.window(event_time, width).alias("w"), F.coalesce("verdict_level", F.lit("none")).alias("level")).agg(F.count("*").alias("messages"))
     return counted.select(F.col("w.start").alias("start"), "level", "messages")
 

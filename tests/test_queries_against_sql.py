@@ -2,10 +2,11 @@
 
 import pytest
 
-from mirefold.plans import reference, training
+from mirefold.plans import reference, training, triage
 from tests.compare import rows
 
-QUERIES, SQL = {**training.QUERIES, **reference.QUERIES}, {**training.SQL, **reference.SQL}
+QUERIES = {**training.QUERIES, **reference.QUERIES, **triage.QUERIES}
+SQL = {**training.SQL, **reference.SQL, **triage.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
