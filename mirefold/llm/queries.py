@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mirefold.llm.garbled import Restorer, learn, restored, well_formed_texts
@@ -148,7 +149,49 @@ def p10_whole(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pieces(spark, folder, with_text=False).groupBy("doc_id").agg(F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("tokens"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces, "p7_indicators": p7_indicators, "p8_whole": p8_whole, "p10_whole": p10_whole}
+def p8_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tokens the containers hold in all, how many are overfull, and
+    whether there are no more than the tokens need plus one a group.
+    """
+    limit = table(spark, folder, "size_limit").where("purpose = 'container'").first()["max_tokens"]
+    full = p8_containers(spark, folder).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    out = full.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > limit).alias("overfull"), F.count("*").alias("containers"), F.count_distinct(F.shiftright("container_id", 32)).alias("groups"))
+    return out.select("tokens", "overfull", (F.col("containers") <= F.ceil(F.col("tokens") / limit) + F.col("groups")).alias("tight"))
+
+
+def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that had to be divided, and the tokens of their parts."""
+    return p8_containers(spark, folder).groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens")).where("parts > 1").select("doc_id", "tokens")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source whether its tokens are its weight's share of the mixture
+    (each source may miss its own by half a text, hence the sum too), whether
+    the share that was reported is true, and whether no text is used more
+    often than allowed.
+    """
+    documents = table(spark, folder, "documents").select("source", F.octet_length("text").alias("n")).where("n > 0")
+    largest = documents.groupBy("source").agg(F.max("n").alias("largest"))
+    target = table(spark, folder, "mix_target").where("weight > 0 and max_repeats > 0").join(largest, "source")
+    used = p9_mix(spark, folder).groupBy("source").agg(F.max("copies").alias("most"), F.max("actual_share").alias("share"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
+    told = target.join(used, "source", "left").fillna(0)
+    whole = W.partitionBy(F.lit(0))  # as many rows as targets
+    told = told.withColumn("total", F.sum("tokens").over(whole)).withColumn("slack", F.max("largest").over(whole))
+    near = F.abs(F.col("tokens") - F.col("weight") * F.col("total")) <= 0.005 * F.col("total") + 5 * F.col("slack")
+    return told.select("source", near.alias("near"), (F.abs(F.col("share") - F.col("tokens") / F.col("total")) < 1e-9).alias("reported"), (F.col("most") <= F.col("max_repeats")).alias("within"))
+
+
+def p10_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of a text are without their overlaps, one after the other, and whether all keep to the limits."""
+    limit = table(spark, folder, "size_limit").where("purpose = 'piece'").first()
+    body = F.encode("piece_text", "UTF-8")
+    pieces = p10_pieces(spark, folder).select("doc_id", "piece_no", body.alias("whole"), F.expr("substring(encode(piece_text, 'UTF-8'), overlap_tokens + 1)").alias("own"), "overlap_tokens")
+    fits = (F.octet_length("whole") <= limit["max_tokens"]) & (F.col("overlap_tokens") <= limit["overlap_tokens"])
+    each = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("p"), F.bool_and(fits).alias("fits"))  # as long as the text
+    return each.select("doc_id", F.sha2(F.concat_ws("", F.transform("p", lambda x: F.decode(x["own"], "UTF-8"))), 256).alias("text_sha256"), "fits")
+
+
+QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p8_containers": p8_containers, "p9_mix": p9_mix, "p10_found": p10_found, "p10_pieces": p10_pieces, "p7_indicators": p7_indicators, "p8_whole": p8_whole, "p10_whole": p10_whole, "p8_fit": p8_fit, "p8_parts": p8_parts, "p9_shares": p9_shares, "p10_joined": p10_joined}
 
 _DUCK_KEYS = r"""
 with src as (
@@ -178,6 +221,10 @@ _VARIANT = "|".join(
 SQL = {
     "p7_indicators": f"select 'ioc' as tbl, ioc_id as row_id from ioc where regexp_matches(value, '{_VARIANT}') union all select 'lookalike_hit', hit_id from lookalike_hit where regexp_matches(value, '{_VARIANT}')",
     "p8_whole": _WHOLE,
+    "p8_fit": "select cast(sum(strlen(text)) as bigint) as tokens, cast(0 as bigint) as overfull, true as tight from documents",
+    "p8_parts": "with c as (select max_tokens as m from size_limit where purpose = 'container') select doc_id, cast(strlen(text) as bigint) as tokens from documents, c where strlen(text) > m",
+    "p9_shares": "select t.source, true as near, true as reported, true as within from mix_target t where t.weight > 0 and t.max_repeats > 0 and exists (select 1 from documents d where d.source = t.source and strlen(d.text) > 0)",
+    "p10_joined": "select doc_id, sha256(text) as text_sha256, true as fits from documents where text is not null",
     "p10_whole": _WHOLE,
     "p4_found": _DUCK_KEYS + "select tbl, id as row_id, first_id from (select *, min(id) over (partition by tbl, t, v, o) as first_id from k) where id <> first_id",
     "p4_copies": _DUCK_KEYS + "select tbl, min(id) as first_id, count(*) as copies from k group by tbl, t, v, o",
