@@ -190,6 +190,7 @@ def copies(keyed: DataFrame, others: list[str] | None = None, bucket_bytes: int
     splits the partition of a hot key, whose other side is a single row.
     """
     others = others or ["id"]
+    keyed = written(keyed.select("key", F.col("id").cast("long").alias("id"), *[c for c in others if c != "id"]).where("key is not null"), "keyed")  # the keys are made once
     first = collapse(keyed, bucket_bytes).where("copies > 1").select("key", "first_id")
-    rows = keyed.select("key", F.col("id").cast("long").alias("__id"), *[F.col(c).alias(f"__{c}_out") for c in others]).where("key is not null")
+    rows = keyed.select("key", F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}_out") for c in others])
     return rows.join(first, "key").where("__id <> first_id").select(*[F.col(f"__{c}_out").alias(c) for c in others], "first_id")
