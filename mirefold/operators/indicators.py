@@ -163,8 +163,8 @@ def is_host(host: Column, free_text: bool = False) -> Column:
     return good
 
 
-def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(row_id, ioc_type, pos, value, tags): every indicator that a text contains, in order of
+def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | None = None, radius: int | None = None) -> DataFrame:
+    """(row_id, ioc_type, pos, value, tags), with a radius also context, the text around the first place of a value: every indicator that a text contains, in order of
     type and place. Null and empty texts have none; the text is read whole and as it is; an
     indicator that recurs in a text is given each time. Nothing leaves the JVM.
     """
@@ -179,7 +179,8 @@ def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | Non
         foreign = F.filter(low(F.regexp_extract_all(names, F.lit(UNICODE_HOST), F.lit(1))), lambda h: h.rlike(r"[^\x00-\x7F]") & is_host(h, True))
         arrays.append(("domain", F.concat(hosts, foreign)))
     each = F.array(*[F.struct(F.lit(name).alias("ioc_type"), found.alias("found")) for name, found in arrays])
-    rows = df.where(t.isNotNull()).select(F.col(row_id), F.explode(each).alias("e")).select(row_id, "e.ioc_type", F.posexplode("e.found").alias("pos", "raw"))
+    kept = [t.alias("__t")] if radius else []
+    rows = df.where(t.isNotNull()).select(F.col(row_id), *kept, F.explode(each).alias("e")).select(row_id, *["__t"] * len(kept), "e.ioc_type", F.posexplode("e.found").alias("pos", "raw"))
     kind, raw = F.col("ioc_type"), F.col("raw")
     value = (
         F.when(kind == "cve", F.upper(raw))
@@ -201,7 +202,12 @@ def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | Non
         F.when(kind == "command_line", "process"),
         *chats,
     )))
-    return rows.select(row_id, "ioc_type", "pos", "value", tags.alias("tags"))
+    around = []
+    if radius:
+        place = F.instr(F.col("__t"), F.col("raw"))
+        cut = F.substring(F.col("__t"), F.greatest(F.lit(1), place - radius), F.least(place, F.lit(radius + 1)) - 1 + F.length("raw") + radius)
+        around = [F.trim(F.regexp_replace(cut, r"[\r\n]", " ")).alias("context")]
+    return rows.select(row_id, "ioc_type", "pos", "value", tags.alias("tags"), *around)
 
 
 def trimmed_command(c: Column) -> Column:
@@ -238,29 +244,35 @@ def extracted(df: DataFrame, row_id: str, text: str, radius: int = 60) -> DataFr
     around it. One shuffle by row and key, with partial sums. Null and empty
     texts have none; row_id must be unique.
     """
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(row_id), F.col(text).alias("__raw")).withColumn("__text", prepared(F.col("__raw")))
-    defanged = F.lower("__raw").contains("hxxp")
-    mails = found_in(rows.withColumn("__text", without_identifiers(F.col("__text"))), row_id, "__text", ("email",)).withColumn("value", F.lower("value"))
-    others = found_in(rows, row_id, "__text", tuple(t for t in ORDER if t != "email"))
-    urls = others.where("ioc_type = 'url'").select(row_id, tx.url_host(F.col("value")).alias("value"), "pos")
-    hosts = urls.where(is_host(F.col("value")) & ~F.col("value").rlike(f"^{tx.IPV4}$")).select(row_id, F.lit("domain").alias("ioc_type"), (F.col("pos") - 2_000_000).alias("pos"), "value", F.array_compact(F.array(F.lit("from_url"), F.when(rewriter_host(F.col("value")), "url_rewriter"))).alias("tags"))
-    addresses = urls.where(F.col("value").rlike(f"^{tx.IPV4}$") & ~tx.is_private_ipv4(F.col("value"))).select(row_id, F.lit("ipv4").alias("ioc_type"), (F.col("pos") - 2_000_000).alias("pos"), "value", F.array(F.lit("from_url")).alias("tags"))
-    named = mails.select(row_id, F.lit("domain").alias("ioc_type"), (F.col("pos") - 1_000_000).alias("pos"), F.substring_index("value", "@", -1).alias("value"), F.array(F.lit("from_email")).alias("tags")).where(is_host(F.col("value")))
-    parts = others.where("ioc_type = 'ip_port'").select(row_id, F.lit("ipv4").alias("ioc_type"), (F.col("pos") - 1_000_000).alias("pos"), F.substring_index("value", ":", 1).alias("value"), "tags")
-    every = others.unionByName(mails).unionByName(hosts).unionByName(addresses).unionByName(named).unionByName(parts)
-    key = F.when(F.col("ioc_type").isin("url", "messenger"), tx.url_key(F.col("value"))).when(F.col("ioc_type") == "domain", tx.domain_key(F.col("value"))).otherwise(F.lower("value"))
-    value = F.when(F.col("ioc_type") == "domain", tx.domain_key(F.col("value"))).otherwise(F.col("value"))
-    once = every.withColumn("key", key).withColumn("value", value).groupBy(row_id, "ioc_type", "key").agg(F.min_by("value", "pos").alias("value"), F.flatten(F.array_sort(F.collect_set("tags"))).alias("tags"), F.count("*").alias("copies"))
-    whole = once.groupBy(row_id).agg(F.collect_list(F.struct("ioc_type", "key", "value", "tags", "copies")).alias("all"))  # as long as the text
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(row_id), F.lower(text).contains("hxxp").alias("__was"), prepared(F.col(text)).alias("__text"))
+    none = F.array().cast("array<string>")
+    mails = found_in(rows.withColumn("__text", without_identifiers(F.col("__text"))), row_id, "__text", ("email",), radius).withColumn("value", F.lower("value"))
+    others = found_in(rows, row_id, "__text", tuple(t for t in ORDER if t != "email"), radius)
+    kind, value, pos = F.col("ioc_type"), F.col("value"), F.col("pos")
+    host = tx.url_host(value)
+    item = lambda k, v, p, t: F.struct(F.lit(k).alias("ioc_type") if isinstance(k, str) else k.alias("ioc_type"), v.alias("value"), p.alias("pos"), t.alias("tags"))
+    plain = host.rlike(f"^{tx.IPV4}$")
+    mail_host = F.substring_index(value, "@", -1)
+    derived = F.array_compact(F.array(  # what an indicator names is one itself; it counts as found before free text
+        item(kind, value, pos, F.col("tags")),
+        F.when((kind == "url") & ~plain & is_host(host), item("domain", host, pos - 2_000_000, F.array_compact(F.array(F.lit("from_url"), F.when(rewriter_host(host), "url_rewriter"))))),
+        F.when((kind == "url") & plain & ~tx.is_private_ipv4(host), item("ipv4", host, pos - 2_000_000, F.array(F.lit("from_url")))),
+        F.when((kind == "email") & is_host(mail_host), item("domain", mail_host, pos - 1_000_000, F.array(F.lit("from_email")))),
+        F.when(kind == "ip_port", item("ipv4", F.substring_index(value, ":", 1), pos - 1_000_000, F.col("tags"))),
+    ))
+    every = others.unionByName(mails).select(row_id, "context", F.explode(derived).alias("i")).select(row_id, "context", "i.*")
+    key = F.when(kind.isin("url", "messenger"), tx.url_key(value)).when(kind == "domain", tx.domain_key(value)).otherwise(F.lower(value))
+    every = every.withColumn("key", key).withColumn("value", F.when(kind == "domain", tx.domain_key(value)).otherwise(value))
+    once = every.groupBy(row_id, "ioc_type", "key").agg(F.min_by(F.struct("value", "context"), "pos").alias("first"), F.array_sort(F.collect_set("tags")).alias("tags"), F.count("*").alias("copies"))
+    whole = once.groupBy(row_id).agg(F.collect_list(F.struct("ioc_type", "key", "first.value", F.array_distinct(F.flatten("tags")).alias("tags"), "first.context", "copies")).alias("all"))  # as long as the text
     longer = F.filter("all", lambda x: x["ioc_type"].isin("sha256", "sha1"))
     part_of = lambda x: x["ioc_type"].isin("sha1", "md5") & F.exists(longer, lambda y: (F.length(y["value"]) > F.length(x["value"])) & y["value"].contains(x["value"]))
     chats = F.transform(F.filter("all", lambda x: x["ioc_type"] == "messenger"), lambda x: x["key"])
     kept = F.filter("all", lambda x: ~part_of(x) & ~((x["ioc_type"] == "url") & F.array_contains(chats, x["key"])))
-    flat = whole.join(rows, row_id).select(row_id, "__text", defanged.alias("__was"), F.explode(kept).alias("i"))
-    place = F.instr(F.lower("__text"), F.lower("i.value"))
-    context = F.trim(F.regexp_replace(F.substring(F.col("__text"), F.greatest(F.lit(1), place - radius), F.least(place, F.lit(radius + 1)) - 1 + F.length("i.value") + radius), r"[\r\n]", " "))
-    tags = F.array_distinct(F.concat("i.tags", F.when((F.col("i.ioc_type") == "url") & F.col("__was"), F.array(F.lit("was_defanged"))).otherwise(F.array().cast("array<string>"))))
-    return flat.select(row_id, "i.ioc_type", "i.key", "i.value", tags.alias("tags"), F.when(place > 0, context).otherwise("").alias("context"), "i.copies")
+    was = rows.where("__was").select(row_id, "__was")
+    flat = whole.join(was, row_id, "left").select(row_id, "__was", F.explode(kept).alias("i"))
+    tags = F.array_distinct(F.concat("i.tags", F.when((F.col("i.ioc_type") == "url") & F.col("__was"), F.array(F.lit("was_defanged"))).otherwise(none)))
+    return flat.select(row_id, "i.ioc_type", "i.key", "i.value", tags.alias("tags"), "i.context", "i.copies")
 
 
 def wallets_in(df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from mirefold.functions import rewriters
 from mirefold.functions import text as tx
-from mirefold.operators import batches, headers, indicators, signals
+from mirefold.operators import batches, headers, indicators, pipeline, signals
 from mirefold.plans import reference
-from mirefold.session import table
+from mirefold.session import table, written
 from mirefold.sources import config, exports
 from mirefold.sources import mail as mail_source
 
@@ -266,3 +266,20 @@ def links_unwrapped(spark: SparkSession, folder: str) -> DataFrame:
     rewritten = table(spark, folder, "ioc").select(F.concat_ws(" ", F.lit("rewritten"), F.col("ioc_id").cast("string")).alias("id"), F.col("rewritten_from").alias("text"))
     found = indicators.found_in(reference._texts(spark, folder).unionByName(rewritten), "id", "text", ("url",)).where(F.lower("value").rlike("^https?://"))
     return rewriters.unwrap(found.select("id", "value").distinct(), "value").where("changed").select("id", "original", "unwrapped", F.array_join("chain", ">").alias("chain"))
+
+
+_ROOT = r"lower(regexp_replace(regexp_extract(trim(coalesce(in_reply_to, ''), ' '), '^(\S+)', 1), '^[<>]+|[<>]+$', '', 'g'))"
+
+
+@query(f"""with c as (select 'm' || m.mail_id || '.eml' as path, {_line('m.sender')} as sender, {_line('m.subject')} as subject, {_line('i.message_id')} as message_id, {_line('i.in_reply_to')} as in_reply_to from mail m join mail_identity i on m.mail_id = i.ident_id)
+select path, sender, subject, message_id, coalesce('thread:' || nullif({_ROOT}, ''), 'subj:' || nullif({reference._SUBJECT}, ''), '') as campaign_key from c""")
+def messages_analysed(spark: SparkSession, folder: str) -> DataFrame:
+    """Triage rows of messages that were written as files and analysed as a whole."""
+    return pipeline.analysed(_parsed(spark, folder)).triage.select("path", "sender", "subject", "message_id", "campaign_key")
+
+
+@query()
+def messages_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """The indicators of those messages."""
+    allow = spark.createDataFrame([("example.net",)], "domain string")
+    return pipeline.found_indicators(written(_parsed(spark, folder), "parsed"), allow).select("path", "ioc_type", "value", F.array_join("tags", "|").alias("tags"), "copies")

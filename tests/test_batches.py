@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from mirefold.operators import batches, headers
+from mirefold.operators import batches, headers, pipeline
 from mirefold.sources import config, exports
 from mirefold.sources import mail as m
 
@@ -118,3 +118,16 @@ def test_tickets(spark):
     values = exports.ticket_values(df)
     assert values.select(exports.tickets()).first()[0] == "Verdict: malicious\nScore: 80\nCampaign: k\nFile: a.eml\nFrom: A\nSubject: S\nIndicators:\n  url:hxxps://e[.]test/x"
     assert values.select(exports.tickets("{verdict}/{reason}/{other}")).first()[0] == "malicious//{other}"
+
+
+def test_messages_from_file_to_row(spark):
+    raw = b"""From: "Ann" <a@x.test>\r\nReply-To: b@evil.test\r\nSubject: Re: pay\r\nMessage-ID: <1@x.test>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nUrgent: see https://urldefense.com/v3/__https://deep.test/p__;x or https://ok.example.net/a\r\n--b\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename=run.exe\r\n\r\nMZ1\r\n--b--"""
+    files = spark.createDataFrame([("a.eml", bytearray(raw)), ("b.msg", bytearray(b"x"))], "path string, content binary")
+    out = pipeline.analysed(m.parse_files(files), spark.createDataFrame([("example.net",)], "domain string"))
+    found = {(r["ioc_type"], r["value"]): set(r["tags"]) for r in out.indicators.collect()}
+    assert "unwrapped" in found["url", "https://deep.test/p"] and "allowlisted" in found["domain", "ok.example.net"] and "url_rewriter" in found["domain", "urldefense.com"] and {"a@x.test", "b@evil.test"} <= {v for k, v in found if k == "email"}
+    assert ("filename", "run.exe") in found and sum(k == "sha256" for k, _ in found) == 1
+    assert {"reply_to_mismatch", "orphan_reply"} <= {r["finding"] for r in out.findings.collect()} and "urgency" in {r["kind"] for r in out.signals.collect()}
+    rows = {r["path"]: r for r in out.triage.collect()}
+    assert rows["a.eml"]["campaign_key"].startswith("att:") and rows["a.eml"]["ioc_count"] == len(found) and rows["a.eml"]["top_iocs"][0] == "url:https://deep.test/p"
+    assert rows["b.msg"]["errors"] == ["no reader for this type"] and rows["b.msg"]["ioc_count"] == 0
