@@ -82,6 +82,8 @@ PATTERNS: tuple[tuple[str, str, str, str], ...] = (
     ("monero", "find", rf"{_START}(4[0-9AB][1-9A-HJ-NP-Za-km-z]{{93}})\b", ""),
     ("command_line", "find", rf"(?i){_START}((?:{_either(PROGRAMS)})(?:\.exe)?[^A-Za-z0-9_.\r\n][^\r\n]{{0,400}})", ""),
 )
+#: What a text must hold for a type to be looked for at all.
+NEEDS = {"url": "://", "email": "@", "cve": "-", "unc": "\\\\", "filepath": ":\\", "registry": "\\", "mutex": "\\", "ipv4": ".", "ipv6": ":", "ip_port": ":", "domain": "."}
 IP_PORT = rf"(?:^|[^A-Za-z0-9_.])({tx.IPV4}:[0-9]{{2,5}})\b"
 BITCOIN = rf"{_START}((?:bc1|[13])[A-HJ-NP-Za-z0-9]{{25,62}})\b"
 COMMAND_SIGNAL = rf"(?i)\s-(?:{_either(OPTIONS)})(?:\s|$)|\s/c(?:\s|$)|{_either(CALLS)}|%[a-z0-9_]+%|\\\\[^\\\s]"
@@ -178,6 +180,7 @@ def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | Non
         hosts = F.filter(low(F.regexp_extract_all(names, F.lit(HOST), F.lit(1))), lambda h: is_host(h, True))
         foreign = F.filter(low(F.regexp_extract_all(names, F.lit(UNICODE_HOST), F.lit(1))), lambda h: h.rlike(r"[^\x00-\x7F]") & is_host(h, True))
         arrays.append(("domain", F.concat(hosts, foreign)))
+    arrays = [(name, F.when(t.contains(NEEDS[name]), found) if name in NEEDS else found) for name, found in arrays]
     each = F.array(*[F.struct(F.lit(name).alias("ioc_type"), found.alias("found")) for name, found in arrays])
     kept = [t.alias("__t")] if radius else []
     rows = df.where(t.isNotNull()).select(F.col(row_id), *kept, F.explode(each).alias("e")).select(row_id, *["__t"] * len(kept), "e.ioc_type", F.posexplode("e.found").alias("pos", "raw"))
