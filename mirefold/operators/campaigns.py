@@ -45,11 +45,10 @@ def shared_indicators(messages: DataFrame, indicators: DataFrame, key: str, limi
     members = messages.select(key, "msg_id").distinct()
     sizes = members.groupBy(key).agg(F.count("*").alias("size"))
     counted = members.join(labels, "msg_id").groupBy(key, "label").agg(F.count("*").alias("n")).join(sizes, key)
-    # one pass over the counts: the first labels that all have and those that two have, each from its own bounded list
-    mark = counted.withColumn("all", (F.col("n") == F.col("size")).cast("int")).where("all = 1 or (size > 1 and n >= 2)")
-    best = mark.withColumn("first", F.max("all").over(W.partitionBy(key)))
-    kept = best.where("all = first")
-    ranked = kept.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("label"))).where(F.col("k") <= limit)
+    # of each kind only the first labels are kept, already in the tasks that count them; then the better kind of a campaign stays
+    marked = counted.withColumn("every", (F.col("n") == F.col("size")).cast("int")).where("every = 1 or (size > 1 and n >= 2)")
+    first = marked.withColumn("k", F.row_number().over(W.partitionBy(key, "every").orderBy("label"))).where(F.col("k") <= limit)
+    ranked = first.withColumn("best", F.max("every").over(W.partitionBy(key))).where("every = best")
     return ranked.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("shared"))
 
 

@@ -58,6 +58,28 @@ def alignment(parsed: DataFrame) -> DataFrame:
     return rows.where(F.size("__wrong") > 0).select("path", F.get("__wrong", F.lit(0))["signed"].alias("signed"), F.get("__wrong", F.lit(0))["sender"].alias("sender"))
 
 
+def more_findings(parsed: DataFrame) -> DataFrame:
+    """(path, finding, severity) of headers that the identity card doesn't keep: another Sender or Resent-From, a broken chain of ARC, no results of authentication."""
+    rows = auth_results(parsed)
+    domain = lambda name: F.coalesce(F.regexp_extract(F.lower(header(name)), r"@([^@>\s()]+)", 1), F.lit(""))
+    sender = domain("From")
+    apart = lambda name: (domain(name) != "") & (sender != "") & ~tx.related(sender, domain(name))
+    results, seals, said = (F.transform(values_of(n), F.lower) for n in ("ARC-Authentication-Results", "ARC-Seal", "Authentication-Results"))
+    failed = lambda v: F.exists(v, lambda x: x.rlike(r"(?:spf|dkim|dmarc)\s*=\s*fail"))
+    arc, broken = F.size(results) + F.size(seals) > 0, failed(results) | F.exists(seals, lambda x: x.rlike(r"\bcv\s*=\s*fail\b"))
+    trusted = (F.coalesce(header("List-Id"), F.lit("")) != "") | (F.coalesce(F.col("dmarc"), F.lit("")) == "pass")
+    found = {
+        "sender_mismatch": F.when(apart("Sender"), F.when(trusted, "info").otherwise("high")),
+        "resent_from": F.when(apart("Resent-From"), "medium"),
+        "arc_failed": F.when(arc & broken, "high"),
+        "arc": F.when(arc & ~broken, "info"),
+        "no_arc": F.when(~arc & failed(said), "low"),
+        "no_auth_header": F.when(F.size(said) == 0, "low"),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("finding"), s.alias("severity")) for n, s in found.items()])
+    return rows.select("path", F.explode(each).alias("f")).select("path", "f.finding", "f.severity").where("severity is not null")
+
+
 def unsubscribe_hosts(c: Column) -> Column:
     """Hosts of the web and mail addresses in List-Unsubscribe."""
     web = F.regexp_extract_all(F.lower(c), F.lit(r"https?://([^\s/:?#>]+)"), F.lit(1))

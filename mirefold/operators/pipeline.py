@@ -79,4 +79,4 @@ def analysed(parsed: DataFrame, allow: DataFrame | None = None) -> Analysis:
     key = campaigns.campaign_key(F.col("references"), F.col("in_reply_to"), F.col("subject"), F.col("__file"))
     rows = base.join(cards.select("path", "from_header", "subject", "message_id", "references", "in_reply_to"), "path").join(counts, "path", "left").join(best, "path", "left")
     triage = rows.select("path", "kind", "source_sha256", F.col("from_header").alias("sender"), "subject", "message_id", key.alias("campaign_key"), F.coalesce("ioc_count", F.lit(0)).alias("ioc_count"), F.coalesce("top", F.array().cast(_NONE)).alias("top_iocs"), "errors")
-    return Analysis(found, findings.unionByName(wrong), said, triage)
+    return Analysis(found, findings.unionByName(wrong).unionByName(headers.more_findings(parsed)), said, triage)

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from mirefold.operators import batches, headers, pipeline
+from mirefold.operators import batches, headers, indicators, pipeline
 from mirefold.sources import config, exports
 from mirefold.sources import mail as m
 
@@ -131,3 +131,26 @@ def test_messages_from_file_to_row(spark):
     rows = {r["path"]: r for r in out.triage.collect()}
     assert rows["a.eml"]["campaign_key"].startswith("att:") and rows["a.eml"]["ioc_count"] == len(found) and rows["a.eml"]["top_iocs"][0] == "url:https://deep.test/p"
     assert rows["b.msg"]["errors"] == ["no reader for this type"] and rows["b.msg"]["ioc_count"] == 0
+
+
+FINDINGS = [
+    ("Sender: b@y.test", {"sender_mismatch": "high", "no_auth_header": "low"}), ("Sender: b@y.test\r\nList-Id: <l.test>", {"sender_mismatch": "info", "no_auth_header": "low"}), ("Sender: b@m.x.test", {"no_auth_header": "low"}),
+    ("Resent-From: b@y.test\r\nAuthentication-Results: mx; spf=fail", {"resent_from": "medium", "no_arc": "low"}), ("ARC-Seal: i=1; cv=fail\r\nAuthentication-Results: mx; spf=pass", {"arc_failed": "high"}),
+    ("ARC-Seal: i=1; cv=pass\r\nARC-Authentication-Results: i=1; dkim=pass\r\nAuthentication-Results: mx; spf=fail", {"arc": "info"}),
+]
+
+
+@pytest.mark.parametrize("extra,want", FINDINGS)
+def test_more_findings(spark, extra, want):
+    got = {r["finding"]: r["severity"] for r in headers.more_findings(parsed(spark, f"From: a@x.test\r\n{extra}\r\n\r\nb".encode())).collect()}
+    assert got == want
+
+
+HOSTS = [("bucket.s3.amazonaws.com", True), ("s3-eu.amazonaws.com", True), ("ses.amazonaws.com", False), ("acc.blob.core.windows.net", True), ("acc.z13.web.core.windows.net", True), ("x.drive.google.com", True), ("mail.google.com", False), ("raw.githubusercontent.com", True)]
+
+
+@pytest.mark.parametrize("host,user", HOSTS)
+def test_user_clouds(spark, host, user):
+    assert one(spark, indicators.user_cloud_host(F.col("x")), value=(host,)) == user
+    allow = spark.createDataFrame([("amazonaws.com",), ("windows.net",), ("google.com",), ("githubusercontent.com",)], "domain string")
+    assert indicators.allowlisted(spark.createDataFrame([(host,)], "h string"), "h", allow).first()["allowlisted"] != user
