@@ -19,6 +19,7 @@ import codecs
 import functools
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ SUPPORT, MAPPED_SHARE = 2, 0.8
 #: Characters of a mapping that come to the driver at most; code charts have no more.
 MAPPED_MOST = 1 << 16
 #: How much more usual (mean log of counts) the restored word must be, and by how much in total over the field.
-MARGIN, TOTAL = 1.2, 4.0
+MARGIN, TOTAL = 1.2, 2.5
 #: What it counts for that all of a word's non-ASCII characters make well-formed UTF-8, which is rare by chance.
 WELL_FORMED = 2.0
 #: ASCII letters and digits a segment needs for its twins to mean anything.
@@ -207,6 +208,15 @@ def aligned(garbled: str, clean: str) -> dict[str, str] | None:
     return {u: c for u, c in out.items() if u != c}
 
 
+def _foreign(unit: str, char: str) -> bool:
+    """Whether a character, or several, can stand for another by a mapping of
+    their own: no letter does (encodings and look-alikes have those), and no
+    variant form of the same character.
+    """
+    plain = "".join(c for c in unicodedata.normalize("NFKC", unit) if unicodedata.category(c) != "Cf")
+    return not (len(unit) == 1 and unit.isalpha()) and char not in unit and plain != unicodedata.normalize("NFKC", char)
+
+
 def mapped(run: str, mapping: dict[str, str], longest: int) -> str | None:
     """A run with the mapping applied to all of it; None where a character isn't in it."""
     out, i = [], 0
@@ -347,7 +357,7 @@ class Restorer:
         total, n = self._scores(points, starts, inside)
         usual, high = total / np.maximum(n, 1), points > 0x7F
         small = np.where(points < 0x10000, points, 0)
-        best_gain, best = np.zeros(len(words)), [""] * len(words)
+        best_gain, best, twice = np.zeros(len(words)), [""] * len(words), np.zeros(len(words), bool)
         bytes_of = {}
         for read, meant, rounds in self.transformations:
             if read not in bytes_of:
@@ -365,7 +375,7 @@ class Restorer:
                 better = (gain > MARGIN) & (gain * k > best_gain)
                 for i in np.flatnonzero(better):
                     best[i] = again[starts[i] + 1 : starts[i] + lengths[i] - 1].astype(np.uint32).tobytes().decode("utf-32-le")
-                best_gain = np.where(better, gain * k, best_gain)
+                best_gain, twice = np.where(better, gain * k, best_gain), twice & ~better
                 continue
             follows = (raw >= 0x80) & (raw < 0xC0)
             after, later = np.r_[follows[1:], False], np.r_[follows[2:], False, False]
@@ -384,7 +394,7 @@ class Restorer:
                 score, k = self._score(text)
                 gain = score / k - usual[i] + (WELL_FORMED if well_formed else 0.0) if k else 0.0
                 if gain > MARGIN and gain * k > best_gain[i]:
-                    best_gain[i], best[i] = gain * k, text
+                    best_gain[i], best[i], twice[i] = gain * k, text, True
         for i, word in enumerate(words) if self.mapping else ():
             changed = [mapped(run, self.mapping, self.longest) for run in _RUN.findall(word)]
             if changed and all(changed):
@@ -394,11 +404,12 @@ class Restorer:
                 gain = score / k - usual[i] + (0.0 if self.both_ways & set(word) else WELL_FORMED) if k else 0.0
                 if gain > MARGIN and gain * k > best_gain[i]:
                     best_gain[i], best[i] = gain * k, text
-        better = [(words[i], best[i], float(best_gain[i])) for i in np.flatnonzero(best_gain > 0)]
-        self.judge([text for _, text, _ in better if _RUN.search(text)], depth + 1)
-        for word, text, gain in better:
-            again, more = self.changed.get(text, (text, 0.0))
-            self.changed[word] = again, gain + more
+        better = [(words[i], best[i], float(best_gain[i]), bool(twice[i])) for i in np.flatnonzero(best_gain > 0)]
+        self.judge([text for _, text, _, utf8 in better if utf8 and _RUN.search(text)], depth + 1)  # only UTF-8 is wrongly read twice
+        for word, text, gain, utf8 in better:
+            again, more = self.changed.get(text, (text, 0.0)) if utf8 else (text, 0.0)
+            alone = len(word) == 1 and again.isalpha()  # one letter for another proves nothing by itself
+            self.changed[word] = again, 0.01 if alone else gain + more
 
     def __call__(self, text: str) -> tuple[str, str | None]:
         """The restored text, and what was found: restored, partly (some
@@ -432,9 +443,10 @@ def learn_transformations(segments: DataFrame, log_counts: np.ndarray, support:
                 if found := explain(garbled, clean):
                     for i in found:
                         count[i] += 1
-                elif abs(usual - other) > MARGIN / 2:
-                    for pair in (aligned(garbled, clean) or {}).items():
-                        units[pair] = units.get(pair, 0) + 1
+                elif abs(usual - other) > MARGIN / 2 and not _LOST.search(x) and not _LOST.search(y):
+                    for unit, char in (aligned(garbled, clean) or {}).items():
+                        if _foreign(unit, char):
+                            units[unit, char] = units.get((unit, char), 0) + 1
             hit = np.flatnonzero(count)
             n = np.r_[count[hit], np.array(list(units.values()), np.int64)].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[hit, np.full(len(units), -1)].astype(np.int32)), pa.array([None] * len(hit) + [u for u, _ in units], pa.string()), pa.array([None] * len(hit) + [c for _, c in units], pa.string()), pa.array(n)], names=["t", "unit", "char", "n"])
