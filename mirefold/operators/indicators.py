@@ -84,11 +84,13 @@ PATTERNS: tuple[tuple[str, str, str, str], ...] = (
 )
 #: What a text must hold for a type to be looked for at all.
 NEEDS = {"url": "://", "email": "@", "cve": "-", "unc": "\\\\", "filepath": ":\\", "registry": "\\", "mutex": "\\", "ipv4": ".", "ipv6": ":", "ip_port": ":", "domain": "."}
-IP_PORT = rf"(?:^|[^A-Za-z0-9_.])({tx.IPV4}:[0-9]{{2,5}})\b"
+IP_PORT = r"(?:^|[^A-Za-z0-9_.])([0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5})\b"
 BITCOIN = rf"{_START}((?:bc1|[13])[A-HJ-NP-Za-z0-9]{{25,62}})\b"
 COMMAND_SIGNAL = rf"(?i)\s-(?:{_either(OPTIONS)})(?:\s|$)|\s/c(?:\s|$)|{_either(CALLS)}|%[a-z0-9_]+%|\\\\[^\\\s]"
-HOST = rf"(?i)(?<![\p{{L}}\p{{N}}@._-])((?:{_LABEL}\.)+[a-z](?:[a-z0-9-]*[a-z0-9]))(?![\p{{L}}\p{{N}}_@-])(?!\.[\p{{L}}\p{{N}}])"
-UNICODE_HOST = r"(?<![\p{L}\p{N}@._-])((?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,})(?![\p{L}\p{N}_@-])(?!\.[\p{L}\p{N}])"
+#: A run of the characters of hosts and addresses with a dot inside; hosts are runs that are one as a whole.
+HOST_RUN = r"[\p{L}\p{N}@_-]++(?:\.++[\p{L}\p{N}@_-]++)+"
+HOST = rf"^(?:{_LABEL}\.)+[a-z](?:[a-z0-9-]*[a-z0-9])\z"
+UNICODE_HOST = r"^(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}\z"
 # Hosts of link-rewriting gateways.
 REWRITER_HOSTS = ("safelinks.protection.outlook.com", "urldefense.com", "urldefense.proofpoint.com", "mimecast.com", "linkprotect.cudasvc.com")
 # What raises or lowers an indicator where several writings compete.
@@ -173,12 +175,11 @@ def found_in(df: DataFrame, row_id: str, text: str, types: tuple[str, ...] | Non
     t = F.col(text)
     arrays = [(name, _matches(t, kind, pattern, alphabet)) for name, kind, pattern, alphabet in PATTERNS if types is None or name in types]
     if types is None or "ip_port" in types:
-        arrays.append(("ip_port", F.regexp_extract_all(t, F.lit(IP_PORT), F.lit(1))))
+        arrays.append(("ip_port", F.filter(F.regexp_extract_all(t, F.lit(IP_PORT), F.lit(1)), lambda x: x.rlike(rf"^{tx.IPV4}:"))))
     if types is None or "domain" in types:
-        names = _without_tails(without_identifiers(t))
-        low = lambda c: F.transform(c, F.lower)
-        hosts = F.filter(low(F.regexp_extract_all(names, F.lit(HOST), F.lit(1))), lambda h: is_host(h, True))
-        foreign = F.filter(low(F.regexp_extract_all(names, F.lit(UNICODE_HOST), F.lit(1))), lambda h: h.rlike(r"[^\x00-\x7F]") & is_host(h, True))
+        runs = F.transform(F.regexp_extract_all(_without_tails(without_identifiers(t)), F.lit(HOST_RUN), F.lit(0)), F.lower)
+        hosts = F.filter(runs, lambda h: h.rlike(HOST) & is_host(h, True))
+        foreign = F.filter(runs, lambda h: h.rlike(r"[^\x00-\x7F]") & h.rlike(UNICODE_HOST) & is_host(h, True))
         arrays.append(("domain", F.concat(hosts, foreign)))
     arrays = [(name, F.when(t.contains(NEEDS[name]), found) if name in NEEDS else found) for name, found in arrays]
     each = F.array(*[F.struct(F.lit(name).alias("ioc_type"), found.alias("found")) for name, found in arrays])

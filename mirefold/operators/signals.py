@@ -60,44 +60,64 @@ def _any(words: str) -> str:
     return "(?:" + "|".join(out) + ")"
 
 
-def word(words: str) -> str:
-    return _EDGE + _any(words) + _END
+class Pattern(str):
+    """A pattern, and words one of which a text must hold for it: searched for first, which is far cheaper."""
 
+    needs: tuple[str, ...]
 
-def near(first: str, second: str, gap: int = 2) -> str:
+    def __new__(cls, text: str, needs: tuple[str, ...]) -> Pattern:
+        out = super().__new__(cls, text)
+        out.needs = needs
+        return out
+
+
+def _stems(words: str) -> tuple[str, ...]:
+    """Of each word the longest run of letters that every form of it has."""
+    return tuple(max("".join(c if c.isalnum() else " " for c in w).split(), key=len) for w in words.split())
+
+
+def word(words: str) -> Pattern:
+    return Pattern(_EDGE + _any(words) + _END, _stems(words))
+
+
+def near(first: str, second: str, gap: int = 2, after: str = "") -> Pattern:
     """A word of the first group, at most gap words, a word of the second."""
-    return f"{_EDGE}{_any(first)}{_SPACE}(?:[\\p{{L}}\\p{{N}}_]+{_SPACE}){{0,{gap}}}{_any(second)}{_END}"
+    rarer = min(first, second, key=lambda w: len(w.split()))
+    return Pattern(f"{_EDGE}{_any(first)}{_SPACE}(?:[\\p{{L}}\\p{{N}}_]+{_SPACE}){{0,{gap}}}{_any(second)}{_END}{after}", _stems(rarer))
+
+
+def either(*patterns: Pattern) -> Pattern:
+    return Pattern("|".join(patterns), tuple(dict.fromkeys(n for p in patterns for n in p.needs)))
 
 
-def link_to(hosts: tuple[str, ...], optional_scheme: bool = False) -> str:
+def link_to(hosts: tuple[str, ...], optional_scheme: bool = False) -> Pattern:
     names = "|".join(h.replace(".", r"\.") for h in hosts)
     scheme = "(?:https?://)?" if optional_scheme else "https?://"
-    return rf"(?:^|[^a-z0-9.@_-]){scheme}(?:www\.)?(?:{names})/[^\s<>\"')\]]"
+    return Pattern(rf"(?:^|[^a-z0-9.@_-]){scheme}(?:www\.)?(?:{names})/[^\s<>\"')\]]", tuple(h + "/" for h in hosts))
 
 
 #: (kind, where, patterns, all of which must be found). Where: "text" is the visible text of both bodies, "raw" text or HTML source, "html" the source.
-RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("urgency", "text", ("|".join((word(HURRY), near(SECRET, EXPIRE), near(ACCOUNT, BLOCKED), near(VERIFY, "identity личность"))),)),
-    ("credential_harvest", "text", ("|".join((near(ASK, SECRET), near(VERIFY, ACCOUNT, 1))),)),
-    ("bec_payment", "text", ("|".join((near(TRANSFER, MONEY), near(ALTER, DETAILS), near(HURRY, TRANSFER, 1), near(HURRY, "оплат* pay payment", 1), near(BANK, DETAIL_NOUNS, 0) + f".{{0,40}}{_any(ALTER)}", near(ALTER, BANK, 1) + f"{_any(DETAIL_NOUNS)}")),)),
-    ("payment_change", "text", ("|".join((near(ALTER, DETAILS), near(ALTER, BANK, 1) + f"{_any(DETAIL_NOUNS)}")),)),
+RULES: tuple[tuple[str, str, tuple[Pattern, ...]], ...] = (
+    ("urgency", "text", (either(word(HURRY), near(SECRET, EXPIRE), near(ACCOUNT, BLOCKED), near(VERIFY, "identity личность")),)),
+    ("credential_harvest", "text", (either(near(ASK, SECRET), near(VERIFY, ACCOUNT, 1)),)),
+    ("bec_payment", "text", (either(near(TRANSFER, MONEY), near(ALTER, DETAILS), near(HURRY, TRANSFER, 1), near(HURRY, "оплат* pay payment", 1), near(BANK, DETAIL_NOUNS, 0, f".{{0,40}}{_any(ALTER)}"), near(ALTER, BANK, 1, _any(DETAIL_NOUNS))),)),
+    ("payment_change", "text", (either(near(ALTER, DETAILS), near(ALTER, BANK, 1, _any(DETAIL_NOUNS))),)),
     ("bec_callback", "text", (near(NOT, REFUSE, 0), word(CALL))),
-    ("clickfix", "text", ("|".join((r"(?:win|windows) ?\+ ?r" + _END, word("run") + "dialog", near(SHELLS, "enc encodedcommand urlcache", 1), rf"{_EDGE}mshta(?:\.exe)? "))
-    ,)),
-    ("archive_password", "text", ("|".join((near(SECRET, PACKED, 2), near(PACKED, PROTECTED, 1), near(SECRET, PROTECTED, 0), rf"{_EDGE}{_any(SECRET)} ?(?:is|:|=) ?\S")),)),
-    ("oob_delivery", "text", ("|".join((near(SECRET, f"{CHATS} {SHORT_MESSAGE}", 2), near(FETCH, CHATS, 2))),)),
-    ("qr_lure", "text", ("|".join((near(SCAN, CODE, 2), word(CODE) + "code", near(CODE, "код code", 0))),)),
-    ("messenger_lure", "text", ("|".join((near(CONTACT, CHATS, 3), near(CHATS, "me us мне нам", 1), rf"{_any(CHATS)}[^\n]{{0,40}}@[a-z][a-z0-9_.]{{2,}}")),)),
-    ("cloud_lure", "text", ("|".join((link_to(CLOUDS), near(FETCH, CLOUD, 3))),)),
+    ("clickfix", "text", (either(Pattern(r"(?:win|windows) ?\+ ?r" + _END, ("win",)), Pattern(word("run") + "dialog", ("dialog",)), near(SHELLS, "enc encodedcommand urlcache", 1), Pattern(rf"{_EDGE}mshta(?:\.exe)? ", ("mshta",))),)),
+    ("archive_password", "text", (either(near(SECRET, PACKED, 2), near(PACKED, PROTECTED, 1), near(SECRET, PROTECTED, 0), Pattern(rf"{_EDGE}{_any(SECRET)} ?(?:is|:|=) ?\S", _stems(SECRET))),)),
+    ("oob_delivery", "text", (either(near(SECRET, f"{CHATS} {SHORT_MESSAGE}", 2), near(FETCH, CHATS, 2)),)),
+    ("qr_lure", "text", (either(near(SCAN, CODE, 2), Pattern(word(CODE) + "code", ("qr",)), near(CODE, "код code", 0)),)),
+    ("messenger_lure", "text", (either(near(CONTACT, CHATS, 3), near(CHATS, "me us мне нам", 1), Pattern(rf"{_any(CHATS)}[^\n]{{0,40}}@[a-z][a-z0-9_.]{{2,}}", _stems(CHATS))),)),
+    ("cloud_lure", "text", (either(link_to(CLOUDS), near(FETCH, CLOUD, 3)),)),
     ("url_shortener", "raw", (link_to(SHORTENERS),)),
     ("messenger_link", "raw", (link_to(MESSENGERS, True),)),
-    ("url_userinfo", "raw", (r"https?://[^\s/@<>\"']+\.[^\s/@<>\"']+@[^\s/<>\"']",)),
-    ("dangerous_scheme", "raw", (rf"(?:{'|'.join(SCHEMES)}) ?:|file ?://|href ?= ?[\"']?javascript:",)),
-    ("fake_auth_results", "raw", (rf"(?:^|\n)[ \t]*(?:{'|'.join(RESULT_HEADERS)})[ \t]*:[ \t]*[^\s]",)),
-    ("hidden_style", "html", (r"display ?: ?none|visibility ?: ?hidden|mso-hide ?: ?all|(?:font-size|opacity|max-height|max-width) ?: ?0(?:\.0+)?(?:px|pt|em)? ?(?:[;\"'}]|$)|left ?: ?-[0-9]{4}",)),
-    ("html_form", "html", (r"<form[\s>]",)),
-    ("html_password_form", "html", (r"<input[^>]*type ?= ?[\"']?password",)),
-    ("cid_image", "html", (r"<img[^>]*src ?= ?[\"']?cid:",)),
+    ("url_userinfo", "raw", (Pattern(r"https?://[^\s/@<>\"']+\.[^\s/@<>\"']+@[^\s/<>\"']", ("://",)),)),
+    ("dangerous_scheme", "raw", (Pattern(rf"(?:{'|'.join(SCHEMES)}) ?:|file ?://|href ?= ?[\"']?javascript:", (*SCHEMES, "file", "javascript:")),)),
+    ("fake_auth_results", "raw", (Pattern(rf"(?:^|\n)[ \t]*(?:{'|'.join(RESULT_HEADERS)})[ \t]*:[ \t]*[^\s]", RESULT_HEADERS),)),
+    ("hidden_style", "html", (Pattern(r"display ?: ?none|visibility ?: ?hidden|mso-hide ?: ?all|(?:font-size|opacity|max-height|max-width) ?: ?0(?:\.0+)?(?:px|pt|em)? ?(?:[;\"'}]|$)|left ?: ?-[0-9]{4}", (":",)),)),
+    ("html_form", "html", (Pattern(r"<form[\s>]", ("<form",)),)),
+    ("html_password_form", "html", (Pattern(r"<input[^>]*type ?= ?[\"']?password", ("<input",)),)),
+    ("cid_image", "html", (Pattern(r"<img[^>]*src ?= ?[\"']?cid:", ("cid:",)),)),
 )
 IBAN = r"(?:^|[^A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?:$|[^A-Z0-9])"
 CARD = r"(?:^|[^0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?:$|[^0-9])"
@@ -153,7 +173,10 @@ def signals(df: DataFrame, row_id: str, text: str, html: str, kinds: list[str] |
     for kind, place, patterns in RULES:
         hit = F.lit(True)
         for p in patterns:
-            hit = hit & where[place].rlike(p)
+            may = F.lit(False)
+            for n in p.needs:
+                may = may | where[place].contains(n)
+            hit = hit & may & where[place].rlike(str(p))
         hits[kind] = hit
     both = F.concat_ws("\n", "__text", "__shown")
     links = F.regexp_extract_all(F.col("__raw"), F.lit(r"https?://(?:www\.)?([^\s/:?#\"'<>)\]]+)"), F.lit(1))
